@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 from ..functions import exprs as X
+from ..functions.dist import settle
 from ..schemas import CLEAN_NAMES, KEPT_COLUMNS, NUMERIC_COLUMNS
 
 LONGS = ("GLOBALEVENTID", "NumMentions", "NumSources", "NumArticles")
@@ -54,7 +55,7 @@ def tag_stages(raw: DataFrame, cutoff: str = C.CUTOFF_DATE, country_codes=None)
         .when(F.col("QuadClass").isNull(), "null_quad")
     )
     tagged = typed.withColumn("_early", early)
-    year = modal_year(tagged.where(F.col("_early").isNull())).scalar()
+    year = settle(modal_year(tagged.where(F.col("_early").isNull()))).scalar()
     # (a when-chain with no match is null, so kept rows carry no reason)
     late = F.when(~season_filter(year), "outside_window")
     return tagged.withColumn("drop_reason", F.coalesce("_early", late)).drop("_early")
@@ -154,12 +155,12 @@ def cleaning_report(raw: DataFrame, cutoff: str = C.CUTOFF_DATE) -> DataFrame:
         F.min("event_date").alias("lo"),
         F.max("event_date").alias("hi"),
     )
-    final = per_country.agg(
+    final = settle(per_country.agg(
         F.sum("n").alias("rows_final"),
         F.min("lo").alias("date_min"),
         F.max("hi").alias("date_max"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("country", "n")))).alias("countries"),
-    )
+    ))
     typed = tagged.where(F.coalesce(F.col("drop_reason") == "outside_window", F.lit(True)))
     year = modal_year(typed).scalar()
     return counters.select(

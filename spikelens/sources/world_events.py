@@ -57,7 +57,7 @@ RAW_EXPR = {
     "NumMentions": "case when e.k = 20 then null else cast(cast(floor(e.value) as bigint) as string) end",
     "NumSources": "cast(e.k % 7 as string)",
     "NumArticles": "cast(e.k % 5 as string)",
-    "AvgTone": "case when e.k = 18 then null else cast((50 - e.value) / 10.0e0 as string) end",
+    "AvgTone": "case when e.k = 18 then null else cast(cast((50 - e.value) / 10.0e0 as decimal(12, 3)) as string) end",
     "ActionGeo_Type": "cast(e.k % 5 as string)",
     "ActionGeo_FullName": "case when e.k = 21 then null else n.n_name end",
     "ActionGeo_CountryCode": "case when e.user_id % 7 = 6 then 'UK' when e.user_id % 3 = 0 then 'US' "
