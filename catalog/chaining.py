@@ -81,15 +81,15 @@ def _(spark, sf):
 
 
 @query("chn2_heuristic_scores", with_ctes(
-    "select anchor_id, pool, count(*) as n, max(chain_score) as best, avg(chain_score) as mean from c_scored group by 1, 2",
-    "c_scored"), floats="mean")
+    "select anchor_id, pool, count(*) as n, max(chain_score) as best, sum(chain_score) as total from c_scored group by 1, 2",
+    "c_scored"), floats="total", places=4)
 def _(spark, sf):
     """Scores of all candidates, summarised per anchor and side."""
     ev = placed(spark, sf)
     day = F.col("event_date")
     pool = F.when(day < F.col("a_event_date"), "before").when(day > F.col("a_event_date"), "after").otherwise("same")
     return CH.scored_pairs(ev, strong_anchors(ev)).groupBy("anchor_id", pool.alias("pool")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("chain_score").alias("best"), F.avg("chain_score").alias("mean"))
+        F.count(F.lit(1)).alias("n"), F.max("chain_score").alias("best"), F.sum("chain_score").alias("total"))
 
 
 @query("chn4_event_chains", with_ctes(f"select {', '.join(SCORED)} from c_chain", "c_chain"))

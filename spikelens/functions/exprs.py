@@ -142,7 +142,8 @@ def severity(z: Column) -> Column:
 
 def readable_reasons(codes: Column) -> Column:
     """'country, actor' -> ['Same country', 'Shared actor']; unknown codes pass through."""
-    keys = F.filter(F.transform(F.split(F.coalesce(codes, F.lit("")), ","), F.trim), lambda k: k != "")
+    keys = F.filter(F.transform(F.split(F.coalesce(codes, F.lit("")), ","), lambda k: F.trim(k)),
+                    lambda k: k != "")
     return F.transform(keys, lambda k: F.coalesce(lookup(C.REASON_LABELS, k), k))
 
 
