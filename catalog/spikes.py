@@ -11,6 +11,7 @@ from spikelens.functions.dist import settle
 from spikelens.operators import bursts as B, compare as P, evidence as V, keywords as K, reports as R
 from spikelens.sources import world_events as W
 
+from . import wording  # noqa: F401  (its SQL is used below)
 from .activity import order_bursts, orders_as_events
 from .cleaning import events, slim
 from .registry import query
