@@ -55,11 +55,16 @@ def ranking_metrics(retrieved: DataFrame, relevant: DataFrame, queries: DataFram
     )
 
 
+def mean4(column: str):
+    """Mean of values that have four decimals, at four decimals; summed as whole numbers, so exact."""
+    return F.rint(F.avg(F.rint(F.col(column) * 1e4))) / 1e4
+
+
 def mean_metrics(metrics: DataFrame) -> DataFrame:
     names = {"precision_at_3": "mean_precision_at_3", "precision_at_5": "mean_precision_at_5",
              "recall_at_5": "mean_recall_at_5", "ndcg_at_5": "mean_ndcg_at_5", "mrr": "mean_mrr", "ap": "mean_map"}
     return metrics.agg(
-        *[X.np_round(F.avg(c), 4).alias(n) for c, n in names.items()], F.count(F.lit(1)).alias("num_queries"))
+        *[mean4(c).alias(n) for c, n in names.items()], F.count(F.lit(1)).alias("num_queries"))
 
 
 def chain_retrieved(chain: DataFrame) -> DataFrame:
@@ -132,7 +137,7 @@ def chain_quality(chain: DataFrame, anchors: DataFrame, patterns: DataFrame) ->
         F.count(F.lit(1)).alias("chain_size"),
         X.np_round(F.avg(shares_actor().cast("int")), 3).alias("actor_overlap"),
         X.np_round(F.avg(same.cast("int")), 3).alias("country_overlap"),
-        X.np_round(F.avg("chain_score"), 3).alias("avg_chain_score"))
+        (F.rint(F.avg(F.rint(F.col("chain_score") * 1e4)) / 10) / 1e3).alias("avg_chain_score"))
     df = patterns.select("anchor_id", "pattern").join(per_anchor, "anchor_id", "left")
     return df.na.fill(0, ["chain_size"]).na.fill(0.0, ["actor_overlap", "country_overlap", "avg_chain_score"])
 
@@ -196,7 +201,7 @@ def ablation_scores(ranks: DataFrame, relevant: DataFrame, anchors: DataFrame) -
     queries = anchors.select("anchor_id", names)
     m = ranking_metrics(ranks, relevant, queries, ["anchor_id", "config"])
     return delta_to_full(m.groupBy("config").agg(
-        X.np_round(F.avg("ndcg_at_5"), 4).alias("mean_ndcg_5"),
+        mean4("ndcg_at_5").alias("mean_ndcg_5"),
         X.np_round(F.stddev_pop("ndcg_at_5"), 4).alias("std_ndcg_5"),
         F.count(F.lit(1)).alias("n_queries")))
 
@@ -221,11 +226,11 @@ def random_baseline(ranks: DataFrame, relevant: DataFrame, anchors: DataFrame, t
     queries = anchors.select("anchor_id", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
     slim = ranks.select("anchor_id", "trial", "item", "rank")
     m = ranking_metrics(slim, relevant, queries, ["anchor_id", "trial"])
-    per_anchor = m.groupBy("anchor_id").agg(F.avg("ndcg_at_5").alias("ndcg"))
+    per_anchor = m.groupBy("anchor_id").agg(F.sum(F.rint(F.col("ndcg_at_5") * 1e4)).alias("ndcg"))
     return per_anchor.agg(
         F.lit("random_baseline").alias("config"),
-        X.np_round(F.avg("ndcg"), 4).alias("mean_ndcg_5"),
-        X.np_round(F.stddev_pop("ndcg"), 4).alias("std_ndcg_5"),
+        (F.rint(F.avg("ndcg") / trials) / 1e4).alias("mean_ndcg_5"),
+        X.np_round(F.stddev_pop("ndcg") / trials / 1e4, 4).alias("std_ndcg_5"),
         F.count(F.lit(1)).alias("n_queries"))
 
 

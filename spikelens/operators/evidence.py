@@ -215,6 +215,18 @@ def cosine(a: Column, b: Column) -> Column:
                        lambda acc, v: acc + v)
 
 
+def centroids(vectors: DataFrame, group: str) -> DataFrame:
+    """Unit vector in the mean direction of each group, as ``(query_id, embedding)``."""
+    means = (
+        vectors.select(group, F.posexplode("embedding").alias("i", "v")).groupBy(group, "i")
+        .agg(F.avg(F.col("v").cast("double")).alias("m"))
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])  # one entry per dimension
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x * x))
+    return means.groupBy(group).agg(listed.alias("e")).select(
+        F.col(group).cast("bigint").alias("query_id"), F.transform("e", lambda x: x / norm).alias("embedding"))
+
+
 def _best(ids, vectors, query_ids, queries, k: int) -> pd.DataFrame:
     """Best ``k`` rows per query of one block; equal scores by id."""
     scores = np.round(queries @ vectors.T, 6)

@@ -76,6 +76,16 @@ def write_labels(bursts: DataFrame, chains: DataFrame, path: str) -> None:
     save_report(chains, f"{path}/chains")
 
 
+def write_label_file(bursts: DataFrame, chains: DataFrame, path: str) -> None:
+    """Both label tables as one document. Labels are few: some spikes per country."""
+    rows = lambda df: df.agg(F.collect_list(F.struct(*df.columns))).scalar()
+    save_report(
+        bursts.sparkSession.range(1).select(
+            rows(bursts.withColumn("day", F.col("day").cast("string"))).alias("burst_ground_truth"),
+            rows(chains).alias("chain_ground_truth")),
+        path)
+
+
 def missing_keys(wanted: DataFrame, stored: DataFrame, keys=("country", "day")) -> DataFrame:
     """Keys asked for that a keyed store does not hold yet."""
     return wanted.select(*keys).distinct().join(stored.select(*keys).distinct(), list(keys), "left_anti")
