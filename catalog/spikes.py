@@ -363,3 +363,16 @@ def _(spark, sf):
         "conv_id", "turn", F.col("text").alias("question"), (F.col("conv_id") % n).alias("no"))
     return R.answers(turns.join(numbered, "no").drop("no"), spikes).select(
         "conv_id", "turn", "day", "country", "intent", F.md5("answer").alias("digest"))
+
+
+@query("agg22_historical_stats", with_ctes(f"""select c.day, c.country, recency, h_day as past_day, h.event_count, h.z_score,
+    h.baseline, h.avg_tone, h.conflict_pct, h.top_quad, h.consecutive_days, array_to_string(list_transform(h.path,
+    lambda v: printf('%.2f', v)), ',') as path from past c join stats2 h on h.country = c.country and h.day = c.h_day""",
+    "past", "stats2"), dates="day past_day", floats="avg_tone conflict_pct")
+def _(spark, sf):
+    """Full statistics of the predecessors of every spike."""
+    past = P.earlier_spikes(P.spike_stats(*facts_and_bursts(spark, sf)))
+    names = ("event_count", "z_score", "baseline", "avg_tone", "conflict_pct", "top_quad", "consecutive_days")
+    path = F.array_join(F.transform("h_tone_trajectory", lambda v: X.fixed(v, 2)), ",")
+    return past.select("day", "country", "recency", F.col("h_day").alias("past_day"),
+                       *[F.col(f"h_{n}").alias(n) for n in names], path.alias("path"))
