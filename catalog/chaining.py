@@ -37,10 +37,16 @@ def placed(spark, sf):
     return events(spark, sf, url=False)
 
 
-def strong_chains(spark, sf, keep=CH.RESULT_COLUMNS):
+def strong_chains(spark, sf):
     ev = placed(spark, sf)
     anchors = strong_anchors(ev)
-    return settle(CH.find_chains(ev, anchors, keep=keep)), anchors
+    return settle(CH.find_chains(ev, anchors)), anchors
+
+
+def detailed_chains(spark, sf, url=False):
+    ev = events(spark, sf, url=url)
+    anchors = strong_anchors(ev)
+    return CH.with_details(settle(CH.find_chains(ev, anchors)), ev, anchors)
 
 
 def pair_counts(pairs):
@@ -77,7 +83,7 @@ def _(spark, sf):
        floats=" ".join(C.FEATURES))
 def _(spark, sf):
     """The feature vectors of all chain rows."""
-    return strong_chains(spark, sf)[0].select("anchor_id", "event_id", *C.FEATURES)
+    return detailed_chains(spark, sf).select("anchor_id", "event_id", *C.FEATURES)
 
 
 @query("chn2_heuristic_scores", with_ctes(
@@ -94,14 +100,13 @@ def _(spark, sf):
 
 @query("chn4_event_chains", with_ctes(f"select {', '.join(SCORED)} from c_chain", "c_chain"))
 def _(spark, sf):
-    ev = placed(spark, sf)
-    return CH.find_chains(ev, strong_anchors(ev)).select(*SCORED)
+    return detailed_chains(spark, sf).select(*SCORED)
 
 
 @query("set2_sides_with_same_day", with_ctes(
     "select anchor_id, side, count(*) as n, count(*) filter (pool = 'same') as same_day from c_chain group by 1, 2", "c_chain"))
 def _(spark, sf):
-    chain, anchors = strong_chains(spark, sf, keep=("event_id", "event_date"))
+    chain, anchors = strong_chains(spark, sf)
     own_day = F.col("event_date") == F.col("a_event_date")
     return chain.join(anchors.select("anchor_id", "a_event_date"), "anchor_id").groupBy("anchor_id", "side").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(own_day).alias("same_day"))
@@ -113,8 +118,7 @@ _RESULT = [c for c in CH.RESULT_COLUMNS if c != "event_date"]
 @query("prj24_result_columns", with_ctes(f"""select anchor_id, cast(event_date as varchar) as event_date, chain_score,
     score_reasons, {', '.join(_RESULT)} from c_chain""", "c_chain"))
 def _(spark, sf):
-    ev = events(spark, sf)
-    return CH.find_chains(ev, strong_anchors(ev)).select(
+    return detailed_chains(spark, sf, url=True).select(
         "anchor_id", F.col("event_date").cast("string").alias("event_date"), "chain_score", "score_reasons", *_RESULT)
 
 
@@ -122,7 +126,7 @@ def _(spark, sf):
     {match_strength('chain_score', 'max_score')} as strength, {match_strength('chain_score', '18e0')} as strength_fixed
     from (select *, max(chain_score) over (partition by anchor_id) as max_score from c_chain)""", "c_chain"))
 def _(spark, sf):
-    chain, _ = strong_chains(spark, sf, keep=("event_id", "event_date"))
+    chain, _ = strong_chains(spark, sf)
     return CH.chain_strength(chain).select("anchor_id", "event_id", "max_score", "strength", "strength_fixed")
 
 
@@ -130,8 +134,7 @@ def _(spark, sf):
     list_filter(list_transform(string_split(score_reasons, ','), lambda k: trim(k)), lambda k: k <> ''),
     lambda k: coalesce({case_map('k', C.REASON_LABELS)}, k)), '; ') as reasons from c_chain""", "c_chain"))
 def _(spark, sf):
-    chain, _ = strong_chains(spark, sf, keep=("event_id", "event_date"))
-    return chain.select("anchor_id", "event_id",
+    return detailed_chains(spark, sf).select("anchor_id", "event_id",
                         F.array_join(X.readable_reasons(F.col("score_reasons")), "; ").alias("reasons"))
 
 
@@ -201,7 +204,7 @@ def _(spark, sf):
 @query("agg26_chain_summary", with_ctes("""select anchor_id, count(*) as linked, avg(chain_score) as mean_score,
     max(chain_score) as max_score from c_chain group by 1""", "c_chain"), floats="mean_score")
 def _(spark, sf):
-    return CH.chain_summary(strong_chains(spark, sf, keep=("event_id", "event_date"))[0])
+    return CH.chain_summary(strong_chains(spark, sf)[0])
 
 
 _CROSS = f"""select *, row_number() over (partition by anchor_id order by chain_score desc, event_id) as rank from (select *,

@@ -135,7 +135,7 @@ def _(spark, sf):
 
 add("passages", ["articles"], """select day, country, rank as article, source_url, domain, ((s - 1) / 420)::int as chunk_idx, piece
     as text from (select *, trim(substr(text, s, 500)) as piece from (select *, unnest(range(1, length(text) + 1, 420)) as s
-    from articles)) where length(piece) >= 80""")
+    from (select * replace (trim(regexp_replace(text, '\\s+', ' ', 'g')) as text) from articles))) where length(piece) >= 80""")
 add("ranked_passages", ["passages"], """select *, (row_number() over (partition by day, country order by article, chunk_idx))::int
     as rank, 1e0 / article as score from passages""")
 

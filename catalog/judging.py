@@ -212,13 +212,14 @@ def sampled(spark, sf):
     """A seeded sample of events with their chains."""
     ev = placed(spark, sf)
     anchors = CH.anchor_rows(ev, S.sample_ids(ev))
-    return ev, anchors, settle(CH.find_chains(ev, anchors))
+    chain = settle(CH.find_chains(ev, anchors))
+    return ev, anchors, CH.with_details(chain, ev, anchors, ("event_id", "actor1", "actor2", "country")), chain
 
 
 @query("evl6_chain_quality", with_ctes(_QUALITY, "q_pattern", "q_chain"))
 def _(spark, sf):
-    _, anchors, chain = sampled(spark, sf)
-    return E.chain_quality(chain, anchors, CH.chain_patterns(chain, anchors))
+    _, anchors, detailed, chain = sampled(spark, sf)
+    return E.chain_quality(detailed, anchors, CH.chain_patterns(chain, anchors))
 
 
 add("pattern_pairs", ["s_pattern", "e_pattern"], """select s.pattern as expected, e.pattern as predicted from s_pattern s
@@ -306,7 +307,7 @@ add("qdrawn", ["qx_hits"], random_cte("qx"))
     n_random_trials from (select anchor_id, trial, avg(actor_hit::int) as a, avg((country = a_country)::int) as c
     from qdrawn group by 1, 2))""", "q_chain", "qdrawn"))
 def _(spark, sf):
-    ev, anchors, chain = sampled(spark, sf)
+    ev, anchors, chain, _ = sampled(spark, sf)
     return E.lift_over_random(chain, anchors, E.random_ranks(ev, anchors))
 
 

@@ -33,6 +33,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pin(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns computed once per row, whatever is filtered on them later.
+
+    Catalyst moves a filter below the projection that makes its columns by copying
+    their expressions into it, once per mention. For costly parsing that repeats the
+    parsing; a generator in between keeps the filter above.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in columns or df.columns]))))
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A plain table scan with fewer splits than cores, dealt out to all cores.
+
+    Large tables have more splits than cores and are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def attach(
     big: DataFrame,
     small: DataFrame,

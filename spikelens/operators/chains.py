@@ -121,6 +121,10 @@ def scored_pairs(events, anchors, window_days=7, scope="same", score=None) -> Da
     return pairs.withColumn("chain_score", (score or heuristic())())
 
 
+# What every chain row carries through the ranking: fixed-width columns only.
+NARROW = ("event_id", "event_date", "goldstein", "quad_class")
+
+
 def find_chains(
     events: DataFrame,
     anchors: DataFrame,
@@ -128,39 +132,36 @@ def find_chains(
     top_n: int = 5,
     scope: str = "same",
     score: Callable[[], Column] | None = None,
-    keep=RESULT_COLUMNS,
 ) -> DataFrame:
     """Chain rows of every anchor: ``side`` before/after, ``position`` in date order.
 
     Rows of the anchor's own day are shared out: up to half of the best ``top_n``
     of them fill free places before, the rest free places after. ``anchors`` comes
     from :func:`anchor_rows`. Equal scores are ordered by event id.
+
+    Candidates are ranked as narrow rows; :func:`with_details` fetches the remaining
+    columns for the few that made it.
     """
-    day = F.col("event_date")
-    pool = (
-        F.when(day < F.col("a_event_date"), "before").when(day > F.col("a_event_date"), "after").otherwise("same")
-    )
-    kept = [c for c in keep if c in events.columns]
+    side_of = F.signum(F.date_diff(F.col("event_date"), F.col("a_event_date"))).cast("int")
     ranked = top_k(
         scored_pairs(events, anchors, window_days, scope, score).select(
-            "anchor_id", *kept, "chain_score", reason_codes().alias("score_reasons"), *C.FEATURES, pool.alias("pool")),
+            "anchor_id", *NARROW, "chain_score", side_of.alias("pool")),
         ["anchor_id", "pool"], [F.desc("chain_score"), F.col("event_id")], top_n,
     )
     everyone = Window.partitionBy("anchor_id")  # at most 3 * top_n rows per anchor from here on
 
-    def size(name: str) -> Column:
-        return F.count(F.when(F.col("pool") == name, 1)).over(everyone)
+    def size(pool: int) -> Column:
+        return F.count(F.when(F.col("pool") == pool, 1)).over(everyone)
 
     half = F.greatest(F.floor(F.col("n_same") / 2), F.lit(1))
     to_before = F.least(F.lit(top_n) - F.col("n_before"), half)
     to_after = F.least(F.lit(top_n) - F.col("n_after"), F.col("n_same") - half)
     side = (
-        F.when(F.col("pool") != "same", F.col("pool"))
-        .when(F.col("rank") <= to_before, "before")
-        .when(F.col("rank") > F.col("n_same") - F.greatest(to_after, F.lit(0)), "after")
+        F.when((F.col("pool") < 0) | ((F.col("pool") == 0) & (F.col("rank") <= to_before)), "before")
+        .when((F.col("pool") > 0) | (F.col("rank") > F.col("n_same") - F.greatest(to_after, F.lit(0))), "after")
     )
     placed = (
-        ranked.withColumns({f"n_{p}": size(p) for p in ("before", "same", "after")})
+        ranked.withColumns({"n_before": size(-1), "n_same": size(0), "n_after": size(1)})
         .withColumn("side", side)
         .where(F.col("side").isNotNull())
     )
@@ -169,6 +170,16 @@ def find_chains(
         "pool", "rank", "n_before", "n_same", "n_after")
 
 
+def with_details(chain: DataFrame, events: DataFrame, anchors: DataFrame, keep=RESULT_COLUMNS) -> DataFrame:
+    """Settled chain rows with event columns, the 16 features and the reason codes."""
+    wanted = chain.select(F.col("event_id"), "anchor_id", "chain_score", "side", "position")
+    rows = attach(events, wanted, ["event_id"], "inner", spread=["event_id"])
+    pairs = attach(rows, anchors, ["anchor_id"], "inner", spread=["event_id"])
+    kept = [c for c in keep if c in events.columns]
+    return with_features(pairs).select(
+        "anchor_id", "side", "position", "chain_score", *kept, reason_codes().alias("score_reasons"), *C.FEATURES)
+
+
 def chain_strength(chain: DataFrame) -> DataFrame:
     """Strength labels against the chain's own maximum and against the fixed maximum."""
     best = F.max("chain_score").over(Window.partitionBy("anchor_id"))

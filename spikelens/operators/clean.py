@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.dist import settle
+from ..functions.dist import pin, settle
 from ..schemas import CLEAN_NAMES, KEPT_COLUMNS, NUMERIC_COLUMNS
 
 LONGS = ("GLOBALEVENTID", "NumMentions", "NumSources", "NumArticles")
@@ -47,7 +47,7 @@ def tag_stages(raw: DataFrame, cutoff: str = C.CUTOFF_DATE, country_codes=None)
     Duplicates are not decided here; see :func:`first_per_event`.
     """
     codes = sorted(country_codes or C.COUNTRY_NAMES)
-    typed = cast_columns(raw)
+    typed = pin(cast_columns(raw))
     early = (
         F.when(F.col("event_date").isNull(), "invalid_date")
         .when(F.col("event_date") > F.lit(cutoff).cast("date"), "beyond_cutoff")

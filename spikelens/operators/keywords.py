@@ -47,15 +47,19 @@ def event_texts(events: DataFrame, *groups: str) -> DataFrame:
     return events.groupBy(*groups, F.col("text_for_tfidf").alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def term_counts(docs: DataFrame, keys, terms: Column) -> DataFrame:
+def term_counts(docs: DataFrame, keys, country: Column | None = None, pairs: bool = True) -> DataFrame:
     """Occurrences of each term in each document. ``keys`` identify a document.
 
+    The words are a column of their own first, so each text is taken apart once.
+
     Grouping on top of documents already hashed on ``keys`` needs no new shuffle, and
     the words of one document meet in the map-side step.
     """
+    words = docs.withColumn("_words", tokens(F.col("text"), country)).withColumn("n_words", F.size("_words"))
+    terms = ngrams(F.col("_words")) if pairs else F.col("_words")
     return (
-        docs.select(*keys, "n", F.explode(terms).alias("term"))
-        .groupBy(*keys, "n", "term")
+        words.select(*keys, "n", "n_words", F.explode(terms).alias("term"))
+        .groupBy(*keys, "n", "n_words", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -68,7 +72,7 @@ def fit_tfidf(
 ) -> DataFrame:
     """Vocabulary ``(term, df, total_tf, idf)``: the most frequent terms found in
     at least ``min_df`` documents, the first by name on ties."""
-    counts = term_counts(docs, keys, ngrams(tokens(F.col("text"))))
+    counts = term_counts(docs, keys)
     n_docs = docs.agg(F.sum("n")).scalar()
     return (
         counts.groupBy("term")
@@ -82,7 +86,7 @@ def fit_tfidf(
 
 def fit_relative(docs: DataFrame, keys=("text",), max_features: int = 500, min_df: int = 2) -> DataFrame:
     """Vocabulary of single words for :func:`relative_keywords`, the most widespread first."""
-    counts = term_counts(docs, keys, tokens(F.col("text")))
+    counts = term_counts(docs, keys, pairs=False)
     n_docs = docs.agg(F.sum("n")).scalar()
     return (
         counts.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
@@ -96,7 +100,7 @@ def doc_weights(docs: DataFrame, vocabulary: DataFrame, keys=("text",), country:
 
     The vocabulary is limited to ``max_features`` rows, hence the broadcast.
     """
-    counts = term_counts(docs, keys, ngrams(tokens(F.col("text"), country)))
+    counts = term_counts(docs, keys, country)
     raw = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn(
         "w", (1.0 + F.log("tf")) * F.col("idf"))
     per_doc = raw.groupBy(*keys, "n").agg(
@@ -135,9 +139,7 @@ def top_keywords(
 
 def relative_keywords(docs: DataFrame, vocabulary: DataFrame, groups=(), top_n: int = 15, keys=("text",)) -> DataFrame:
     """Variant without damping or unit length: share of the document's words times idf."""
-    words = tokens(F.col("text"))
-    ids = [*groups, *keys]
-    counts = term_counts(docs.withColumn("n_words", F.size(words)), [*ids, "n_words"], words)
+    counts = term_counts(docs, [*groups, *keys], pairs=False)
     sums = (
         counts.join(F.broadcast(vocabulary.select("term", "idf")), "term")
         .groupBy(*groups, "term")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import config as C
 from ..functions.dist import attach, settle, top_k
 from .aggregate import hash_order
-from .chains import candidate_pairs, features, with_features
+from .chains import candidate_pairs, with_features
 
 MIN_PAIRS = 10
 
@@ -73,7 +73,7 @@ def _fit(scaled: DataFrame, c: float) -> LogisticRegressionModel:
     data = VectorAssembler(inputCols=list(C.FEATURES), outputCol="x").transform(weighted)
     return LogisticRegression(
         featuresCol="x", labelCol="label", weightCol="weight", standardization=False, elasticNetParam=0.0,
-        regParam=1.0 / c, maxIter=1000, tol=1e-9,
+        regParam=1.0 / c, maxIter=1000, tol=1e-7,
     ).fit(data)
 
 
@@ -148,7 +148,3 @@ def model_score(model: DataFrame):
 def importance(model: DataFrame) -> DataFrame:
     return model.where(F.col("feature") != "intercept").select(
         "feature", (F.rint(F.col("coef") * 10000.0) / 10000.0).alias("coef"))
-
-
-__all__ = ["training_pairs", "train", "fit_scaler", "class_weights", "model_score", "save_model", "load_model",
-           "importance", "labelled_pool", "cross_validate", "features"]

@@ -17,9 +17,6 @@ from .aggregate import hash_order
 from .bursts import day_anchors, top_per_country
 from .chains import anchor_rows, chain_patterns, find_chains
 
-LABEL_COLUMNS = ("event_id", "event_date", "actor1", "actor2", "country", "goldstein", "quad_class")
-
-
 class Silver(NamedTuple):
     bursts: DataFrame   # one row per labelled spike
     chains: DataFrame   # one row per anchor with its relevant ids
@@ -31,7 +28,7 @@ def silver_labels(events: DataFrame, bursts: DataFrame) -> Silver:
     top = settle(top_per_country(bursts))
     owners = settle(day_anchors(events, top))
     anchors = anchor_rows(events, owners)
-    chain = settle(find_chains(events, anchors, 7, C.SILVER_TOP_N, keep=LABEL_COLUMNS))
+    chain = settle(find_chains(events, anchors, 7, C.SILVER_TOP_N))
     patterns = chain_patterns(chain, anchors).select("anchor_id", "pattern")
     good = F.least(F.col("chain_score") / C.CHAIN_MAX_SCORE, F.lit(1.0)) >= C.RELEVANCE_THRESHOLD
     relevant = settle(chain.where(good).select("anchor_id", F.col("event_id").alias("item"), "side", "position"))

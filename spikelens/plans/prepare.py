@@ -79,7 +79,7 @@ def evaluation(
     ).select("expected", F.col("pattern").alias("predicted"))
     metrics = E.ranking_metrics(E.chain_retrieved(chain), relevant, judged)
     sample = CH.anchor_rows(events, silver.sample_ids(events))
-    sample_chain = settle(CH.find_chains(events, sample))
+    sample_chain = CH.with_details(settle(CH.find_chains(events, sample)), events, sample)
     sections = [
         E.long_rows(B.sanity(bursts), "burst_sanity"),
         E.long_rows(clean.data_quality(_report_types(report), events), "data_quality"),

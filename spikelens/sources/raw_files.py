@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.dist import pin
 from ..schemas import KEPT_COLUMNS, NULL_TOKENS, RAW_COLUMNS
 
 # Any-case ".csv"; names starting with a dot are already skipped by Spark.
@@ -25,12 +26,8 @@ def parse_lines(lines: DataFrame, columns=KEPT_COLUMNS) -> DataFrame:
         return F.when(~text.isin(*NULL_TOKENS), text).alias(name)
 
     extra = [c for c in lines.columns if c != "value"]
-    return (
-        lines.where(F.col("value") != "")
-        .withColumn("_fields", fields)
-        .where(F.size("_fields") <= width)
-        .select(*[field(c) for c in columns], *extra)
-    )
+    split = pin(lines.where(F.col("value") != "").select(fields.alias("_fields"), *extra))
+    return pin(split.where(F.size("_fields") <= width).select(*[field(c) for c in columns], *extra))
 
 
 def read_export(

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.dist import pin, spread_small
+
 EXPR = {
     "event_id": "e.event_id",
     "event_date": "cast(e.ts as date)",
@@ -74,7 +76,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _joined(spark: SparkSession, sf_dir: str, place: bool, url: bool) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    df = table(spark, sf_dir, "events").withColumn("k", k).alias("e")
+    df = spread_small(table(spark, sf_dir, "events")).withColumn("k", k).alias("e")
     if place:
         nation = table(spark, sf_dir, "nation").alias("n")
         df = df.join(nation, F.expr("n.n_nationkey = e.user_id % 25"))
@@ -97,4 +99,4 @@ def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file_name": "concat(replace(cast(cast(e.ts as date) as string), '-', ''), '.export.CSV')",
         "line_no": "e.event_id",
     }
-    return _joined(spark, sf_dir, True, True).selectExpr(*[f"{e} as {c}" for c, e in exprs.items()])
+    return pin(_joined(spark, sf_dir, True, True).selectExpr(*[f"{e} as {c}" for c, e in exprs.items()]))
