@@ -87,7 +87,9 @@ def top_k(
 
     Two stages: every map partition keeps its own best ``k`` (Spark's group limit),
     these meet in up to ``SPREAD`` sub-groups per key, and only ``SPREAD * k`` rows
-    per key reach the final window. ``order`` must end in a unique column.
+    per key reach the final window. ``order`` must end in a unique column, and ``k``
+    should stay within ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000), beyond
+    which partitions are no longer cut down before the first shuffle.
     """
     first = Window.partitionBy(*keys, "_part").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.dist import prefer, top_k
+from ..functions.dist import prefer, settle, top_k
 
 
 def _is(kind: str):
@@ -172,12 +172,12 @@ def insights(events: DataFrame, bursts: DataFrame) -> DataFrame:
         best(F.col("spikes")).alias("spiky"),
         F.count(F.lit(1)).alias("n_countries"),
     )
-    whole = halves_overall(events)
+    whole = settle(halves_overall(events))
+    overall = settle(events.agg(F.avg("avg_tone").alias("tone"), F.count(F.lit(1)).alias("n")))
     one = top.withColumns({
         c: whole.select(c).scalar()
         for c in ("first_tone", "second_tone", "tone_delta", "first_conflict", "second_conflict", "conflict_delta")
-    }).withColumn("mean_tone", events.agg(F.avg("avg_tone")).scalar()).withColumn(
-        "n_events", events.agg(F.count(F.lit(1))).scalar())
+    }).withColumns({"mean_tone": overall.select("tone").scalar(), "n_events": overall.select("n").scalar()})
     pct = F.col("shift.pct_change")
     td, cd = F.col("tone_delta"), F.col("conflict_delta")
     sentences = [
@@ -210,7 +210,7 @@ def insights(events: DataFrame, bursts: DataFrame) -> DataFrame:
 
 def tone_histogram(events: DataFrame, bins: int = 50) -> DataFrame:
     """Counts per country in ``bins`` equal bins between the smallest and largest tone."""
-    bounds = events.agg(F.min("avg_tone").alias("lo"), F.max("avg_tone").alias("hi"))
+    bounds = settle(events.agg(F.min("avg_tone").alias("lo"), F.max("avg_tone").alias("hi")))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     position = F.when(F.col("hi") > F.col("lo"), (F.col("avg_tone") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     return (
@@ -252,11 +252,23 @@ def hash_order(*columns: str, seed: str = "42"):
     return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in columns]))
 
 
+def smallest(df: DataFrame, n: int, hashed: str) -> DataFrame:
+    """The ``n`` rows with the smallest hex hash, for ``n`` beyond a ranking window.
+
+    Counting the leading digits first tells which of them can hold the ``n`` smallest;
+    only those rows (``n`` and at most one 65536th of the table) are then sorted.
+    """
+    digits = F.substring(hashed, 1, 4)
+    counts = df.groupBy(digits.alias("d")).agg(F.count(F.lit(1)).alias("c"))  # at most 65536 rows
+    running = counts.withColumn("upto", F.sum("c").over(Window.orderBy("d")))
+    last = running.where(F.col("upto") >= n).agg(F.coalesce(F.min("d"), F.lit("~"))).scalar()
+    return df.where(digits <= last).orderBy(hashed, "event_id").limit(n)
+
+
 def map_points(events: DataFrame, n: int = C.MAX_MAP_POINTS) -> DataFrame:
     """Rows with both coordinates; a seeded sample of exactly ``n`` when there are more."""
     placed = events.na.drop(subset=["lat", "long"])
-    return top_k(placed.withColumn("_h", hash_order("event_id")), [], [F.col("_h"), F.col("event_id")], n).drop(
-        "_h", "rank")
+    return smallest(placed.withColumn("_h", hash_order("event_id")), n, "_h").drop("_h")
 
 
 def apply_filters(events: DataFrame, countries, kinds=None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from .. import config as C
 from ..functions import exprs as X
@@ -40,6 +40,20 @@ def modal_year(df: DataFrame) -> DataFrame:
     )
 
 
+def counters():
+    """Row counters of a cleaning run, over :func:`tag_stages` rows."""
+    dropped = lambda reason: F.count_if(F.col("drop_reason") == reason)
+    return (
+        F.count(F.lit(1)).alias("rows_raw"),
+        dropped("invalid_date").alias("invalid_dates_dropped"),
+        dropped("beyond_cutoff").alias("rows_beyond_cutoff"),
+        dropped("outside_countries").alias("rows_outside_countries"),
+        dropped("null_quad").alias("null_quad_dropped"),
+        dropped("outside_window").alias("rows_outside_window"),
+        F.count_if(F.col("drop_reason").isNull()).alias("rows_kept"),
+    )
+
+
 def tag_stages(raw: DataFrame, cutoff: str = C.CUTOFF_DATE, country_codes=None) -> DataFrame:
     """Typed rows with ``drop_reason``: the first cleaning rule each row fails, else null.
 
@@ -123,62 +137,65 @@ def to_events(rows: DataFrame) -> DataFrame:
     return enrich(base)
 
 
-def clean_events(raw: DataFrame, cutoff: str = C.CUTOFF_DATE, order=("file_name", "line_no")) -> DataFrame:
-    """Raw export rows to the events table."""
-    kept = tag_stages(raw, cutoff).where(F.col("drop_reason").isNull()).drop("drop_reason")
-    return to_events(first_per_event(kept, order=order))
-
+def clean_events(
+    raw: DataFrame, cutoff: str = C.CUTOFF_DATE, order=("file_name", "line_no"), watch: Observation | None = None
+) -> DataFrame:
+    """Raw export rows to the events table.
 
-def cleaning_report(raw: DataFrame, cutoff: str = C.CUTOFF_DATE) -> DataFrame:
-    """One row of counters for a cleaning run, plus the rows kept per country."""
-    tagged = tag_stages(raw, cutoff).select("GLOBALEVENTID", "event_date", "ActionGeo_CountryCode", "drop_reason",
-                                            "file_name", "line_no")
-    kept = tagged.where(F.col("drop_reason").isNull())
+    With ``watch``, the run that writes the table also gathers the counters of the
+    cleaning report, see :func:`observed_report`; no further pass over the raw data.
+    """
+    tagged = tag_stages(raw, cutoff)
+    if watch is not None:
+        tagged = tagged.observe(watch, *counters())
+    kept = tagged.where(F.col("drop_reason").isNull()).drop("drop_reason")
+    return to_events(first_per_event(kept, order=order))
 
-    def dropped(reason: str):
-        return F.count_if(F.col("drop_reason") == reason)
 
-    counters = tagged.agg(
-        F.count(F.lit(1)).alias("rows_raw"),
-        dropped("invalid_date").alias("invalid_dates_dropped"),
-        dropped("beyond_cutoff").alias("rows_beyond_cutoff"),
-        dropped("outside_countries").alias("rows_outside_countries"),
-        dropped("null_quad").alias("null_quad_dropped"),
-        dropped("outside_window").alias("rows_outside_window"),
-        F.count_if(F.col("drop_reason").isNull()).alias("_kept"),
-    )
-    unique = first_per_event(kept.select("GLOBALEVENTID", "event_date", "ActionGeo_CountryCode", "file_name", "line_no"))
-    per_country = unique.groupBy(
-        X.lookup(C.COUNTRY_NAMES, F.col("ActionGeo_CountryCode")).alias("country")
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("event_date").alias("lo"),
-        F.max("event_date").alias("hi"),
-    )
-    final = settle(per_country.agg(
+def _final_figures(events: DataFrame, year) -> DataFrame:
+    """One row on the finished table: rows, dates, rows per country, modal year."""
+    per_country = events.groupBy("country").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
+    return settle(per_country.agg(
         F.sum("n").alias("rows_final"),
         F.min("lo").alias("date_min"),
         F.max("hi").alias("date_max"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("country", "n")))).alias("countries"),
-    ))
-    typed = tagged.where(F.coalesce(F.col("drop_reason") == "outside_window", F.lit(True)))
-    year = modal_year(typed).scalar()
-    return counters.select(
-        "*",
-        final.select("rows_final").scalar().alias("rows_final"),
-        year.alias("dominant_year"),
-        final.select("date_min").scalar().alias("date_min"),
-        final.select("date_max").scalar().alias("date_max"),
-        final.select("countries").scalar().alias("countries"),
-    ).withColumn("duplicates_removed", F.col("_kept") - F.col("rows_final")).drop("_kept")
+    ).withColumn("dominant_year", year))
+
+
+def _report(counted: DataFrame, final: DataFrame) -> DataFrame:
+    """Both are single rows."""
+    return counted.select(
+        "*", *[final.select(c).scalar().alias(c) for c in final.columns],
+    ).withColumn("duplicates_removed", F.col("rows_kept") - F.col("rows_final")).drop("rows_kept")
+
+
+def observed_report(watch: Observation, events: DataFrame) -> DataFrame:
+    """Report of a finished write of :func:`clean_events`; ``events`` is the stored table."""
+    found = watch.get
+    counted = events.sparkSession.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in found.items()])
+    year = modal_year(events.select("event_date")).scalar()
+    return _report(counted, _final_figures(events, year))
+
+
+def cleaning_report(raw: DataFrame, cutoff: str = C.CUTOFF_DATE) -> DataFrame:
+    """One row of counters for a cleaning run, plus the rows kept per country."""
+    tagged = tag_stages(raw, cutoff).select("GLOBALEVENTID", "event_date", "ActionGeo_CountryCode", "drop_reason",
+                                            "file_name", "line_no")
+    kept = tagged.where(F.col("drop_reason").isNull()).drop("drop_reason")
+    unique = first_per_event(kept).select(
+        "event_date", X.lookup(C.COUNTRY_NAMES, F.col("ActionGeo_CountryCode")).alias("country"))
+    year = modal_year(tagged.where(F.coalesce(F.col("drop_reason") == "outside_window", F.lit(True)))).scalar()
+    return _report(tagged.agg(*counters()), _final_figures(unique, year))
 
 
 def data_quality(report: DataFrame, events: DataFrame) -> DataFrame:
     """Cleaning report with distinct days and the share of events missing an actor."""
-    extra = events.agg(
+    extra = settle(events.agg(
         F.countDistinct("day").alias("unique_days"),
         X.np_round(F.avg(F.col("has_missing_actor").cast("int")) * 100, 1).alias("missing_actor_pct"),
-    )
+    ))
     return report.select(
         "rows_raw", "rows_final", "invalid_dates_dropped", "duplicates_removed", "rows_outside_countries",
         "rows_outside_window",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.dist import top_k
+from ..functions.dist import settle, top_k
 from .aggregate import hash_order
 from .chains import candidate_pairs, scored_pairs
 
@@ -110,8 +110,8 @@ def above_percentile(bursts: DataFrame, q: float = 0.95) -> DataFrame:
 
 def versus_percentile(bursts: DataFrame, labels: DataFrame) -> DataFrame:
     ours = outcome_scores(label_outcomes(bursts.where("is_burst"), labels))
-    base = outcome_scores(label_outcomes(above_percentile(bursts), labels)).select(
-        *[F.col(c).alias(f"baseline_{c}") for c in ("precision", "recall", "f1")])
+    base = settle(outcome_scores(label_outcomes(above_percentile(bursts), labels)).select(
+        *[F.col(c).alias(f"baseline_{c}") for c in ("precision", "recall", "f1")]))
     # both are single rows
     both = ours.select("precision", "recall", "f1").withColumns(
         {c: base.select(c).scalar() for c in base.columns})
@@ -244,7 +244,7 @@ def lift_over_random(chain: DataFrame, anchors: DataFrame, ranks: DataFrame) ->
                                     F.avg(same.cast("int")).alias("country"))
         return per.agg(F.avg("actor").alias("actor"), F.avg("country").alias("country"), F.count(F.lit(1)).alias("n"))
 
-    scored, rand = overlap(joined, ["anchor_id"]), overlap(ranks, ["anchor_id", "trial"])
+    scored, rand = overlap(joined, ["anchor_id"]), settle(overlap(ranks, ["anchor_id", "trial"]))
     both = scored.select(F.col("actor").alias("s_actor"), F.col("country").alias("s_country"),
                          F.col("n").alias("n_scored")).withColumns(
         {f"r_{c}": rand.select(c).scalar() for c in ("actor", "country", "n")})

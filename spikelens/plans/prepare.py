@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from .. import config as C
 from ..functions.dist import settle
@@ -15,6 +15,12 @@ from ..operators import bursts as B, chains as CH, clean, evaluate as E, keyword
 from ..session import build
 from ..sources import raw_files, tables
 
+REPORT = (
+    "rows_raw bigint, invalid_dates_dropped bigint, rows_beyond_cutoff bigint, rows_outside_countries bigint, "
+    "null_quad_dropped bigint, rows_outside_window bigint, rows_final bigint, date_min date, date_max date, "
+    "countries map<string, bigint>, dominant_year int, duplicates_removed bigint"
+)
+
 
 def prepare(spark: SparkSession, raw_folder: str, out: str, label_path: str | None = None) -> dict[str, str]:
     """Run every stage, each reading the stored result of the one before. Returns the paths written."""
@@ -23,10 +29,10 @@ def prepare(spark: SparkSession, raw_folder: str, out: str, label_path: str | No
         "evaluation", "template", "silver")}
 
     raw = raw_files.read_folder(spark, raw_folder, with_position=True)
-    tables.save_events(clean.clean_events(raw), paths["events"])
-    tables.save_report(clean.cleaning_report(raw), paths["cleaning_report"])
-
+    watch = Observation("cleaning")
+    tables.save_events(clean.clean_events(raw, watch=watch), paths["events"])
     events = tables.load_events(spark, paths["events"])
+    tables.save_report(clean.observed_report(watch, events), paths["cleaning_report"])
     rules = tables.run_parameters(spark)
     tables.save_table(rules, paths["burst_rules"])
     tables.save_table(B.detect_bursts(events), paths["bursts"])
@@ -43,7 +49,7 @@ def prepare(spark: SparkSession, raw_folder: str, out: str, label_path: str | No
         burst_labels, chain_labels = made.bursts, made.chains
         tables.write_labels(silver.burst_template(bursts), silver.chain_template(events), paths["template"])
 
-    report = spark.read.json(paths["cleaning_report"])
+    report = spark.read.schema(REPORT).json(paths["cleaning_report"])
     summary = evaluation(events, bursts, report, burst_labels, chain_labels)
     tables.save_report(summary, paths["evaluation"])
 
@@ -82,7 +88,7 @@ def evaluation(
     sample_chain = CH.with_details(settle(CH.find_chains(events, sample)), events, sample)
     sections = [
         E.long_rows(B.sanity(bursts), "burst_sanity"),
-        E.long_rows(clean.data_quality(_report_types(report), events), "data_quality"),
+        E.long_rows(clean.data_quality(report, events), "data_quality"),
         E.long_rows(E.outcome_scores(E.label_outcomes(bursts.where("is_burst"), burst_labels)), "burst_labels"),
         E.long_rows(E.versus_percentile(bursts, burst_labels), "burst_vs_baseline"),
         E.long_rows(E.mean_metrics(metrics), "chain_labels"),
@@ -104,9 +110,5 @@ def ablation_rows(events: DataFrame, anchors: DataFrame, relevant: DataFrame) ->
                         F.to_json(F.struct("mean_ndcg_5", "std_ndcg_5", "n_queries", "delta_vs_full")).alias("value"))
 
 
-def _report_types(report: DataFrame) -> DataFrame:
-    return report.withColumns({c: F.col(c).cast("date") for c in ("date_min", "date_max")})
-
-
 if __name__ == "__main__":
     prepare(build("prepare"), *sys.argv[1:4])
