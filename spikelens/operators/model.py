@@ -13,6 +13,7 @@ from .aggregate import hash_order
 from .chains import candidate_pairs, with_features
 
 MIN_PAIRS = 10
+ROWS_PER_PARTITION = 50_000
 
 
 def labelled_pool(events: DataFrame, anchors: DataFrame, relevant: DataFrame, window_days: int = 7) -> DataFrame:
@@ -69,7 +70,8 @@ def _scaled(pairs: DataFrame, scaler_rows) -> DataFrame:
 
 def _fit(scaled: DataFrame, c: float) -> LogisticRegressionModel:
     """Balanced, L2-penalised fit. The penalty is on the mean loss, hence 1/C."""
-    weighted = scaled.join(F.broadcast(class_weights(scaled).select("label", "weight")), "label")  # two rows
+    weight = {r.label: r.weight for r in class_weights(scaled).collect()}  # two rows
+    weighted = scaled.withColumn("weight", F.when(F.col("label") == 1, weight.get(1)).otherwise(weight.get(0)))
     data = VectorAssembler(inputCols=list(C.FEATURES), outputCol="x").transform(weighted)
     return LogisticRegression(
         featuresCol="x", labelCol="label", weightCol="weight", standardization=False, elasticNetParam=0.0,
@@ -82,10 +84,11 @@ def cross_validate(scaled: DataFrame, folds: int, c: float = 1.0) -> DataFrame:
     marked = scaled.withColumn("fold", F.pmod(F.xxhash64("anchor_id", "event_id"), F.lit(folds)).cast("int"))
     assembler = VectorAssembler(inputCols=list(C.FEATURES), outputCol="x")
     parts = []
+    sizes = marked.groupBy("fold", "label").count().collect()  # at most two rows per fold
     for fold in range(folds):  # two to five fits
         train = marked.where(F.col("fold") != fold)
         held = marked.where(F.col("fold") == fold)
-        if train.select("label").distinct().count() < 2:
+        if len({r.label for r in sizes if r.fold != fold}) < 2:
             continue
         model = _fit(train, c)
         probability = vector_to_array("probability")[1]
@@ -113,7 +116,8 @@ def train(pairs: DataFrame, c: float = 1.0) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"too few training pairs: {n}, at least {MIN_PAIRS} needed")
     spark = pairs.sparkSession
     rows = fit_scaler(pairs).orderBy("i").collect()  # 16 rows
-    scaled = settle(_scaled(pairs, rows))
+    # a partition per so many rows: each step of the fit is a job over all of them
+    scaled = settle(_scaled(pairs, rows).coalesce(-(-n // ROWS_PER_PARTITION)))
     folds = min(5, max(2, n // 5))
     scores = cross_validate(scaled, folds, c)
     model = _fit(scaled, c)

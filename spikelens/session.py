@@ -7,6 +7,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # text and vector steps are heavy for their size: let small shuffles keep all cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # long texts: keep Arrow batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
