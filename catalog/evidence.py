@@ -128,9 +128,8 @@ def _(spark, sf):
     trim(substr(t, s, 500)) as piece from (select doc_id, t, unnest(range(1, greatest(length(t), 1) + 1, 420)) as s from
     (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents))) where length(piece) >= 80""")
 def _(spark, sf):
-    docs = W.table(spark, sf, "documents")
-    return docs.select("doc_id", F.explode(V.fixed_chunks(F.col("text"))).alias("c")).select(
-        "doc_id", "c.chunk_idx", F.md5("c.text").alias("digest"))
+    docs = W.table(spark, sf, "documents").select("doc_id", "text")
+    return V.fixed_chunks(docs).select("doc_id", "chunk_idx", F.md5("text").alias("digest"))
 
 
 add("passages", ["articles"], """select day, country, rank as article, source_url, domain, ((s - 1) / 420)::int as chunk_idx, piece
@@ -144,8 +143,7 @@ def native_passages(spark, sf):
     """Fixed-stride pieces of the articles, ranked by article."""
     from pyspark.sql import Window
 
-    pieces = articles(spark, sf).withColumnRenamed("rank", "article").withColumn(
-        "c", F.explode(V.fixed_chunks(F.col("text")))).drop("text").select("*", "c.chunk_idx", "c.text").drop("c")
+    pieces = V.fixed_chunks(articles(spark, sf).withColumnRenamed("rank", "article"))
     w = Window.partitionBy(*KEYS).orderBy("article", "chunk_idx")  # at most ten articles per spike
     return pieces.withColumns({"rank": F.row_number().over(w), "score": 1.0 / F.col("article")})
 
