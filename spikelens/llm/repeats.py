@@ -8,8 +8,9 @@ equal windows have equal anchors, so only runs of windows whose anchor hash is m
 2. Anchor hashes met twice are kept (partial counts, then a join Spark may split by skew).
 3. The runs at such anchors are cut out as *segments*; equal segments become one row with a count.
 4. A bucket is one anchor hash. Its distinct segments are compared by the operator's matcher (suffix array or suffix
-   automaton) in one task when at most ``bucket`` of them differ. Windows of larger buckets are keyed by
-   (anchor, fingerprint of the window) and counted with partial aggregation, so no key meets in one task.
+   automaton) in one task when at most ``bucket`` of them differ. Segments of a larger bucket are cut into blocks of
+   windows at a like distance from the anchor. Windows of a block share a core of bytes, and equal windows share it
+   too, so the core makes finer buckets; equal blocks become one again, and so on down to single windows.
 5. Repeated windows flow back to segments, texts and rows.
 
 ``keep="none"`` marks all copies of a window, ``keep="first"`` all but the one in the row with the smallest
@@ -62,9 +63,9 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(values: np.ndarray, first: np.ndarray, unit: Unit):
-    """Runs of windows with one anchor: piece, first window, end window (places in ``values``), anchor hash."""
+    """Runs of windows with one anchor: piece, first window, end window (places in ``values``), anchor hash, anchor."""
     w, total = unit.window - unit.k + 1, len(values) - unit.window + 1
-    found: list[list[np.ndarray]] = [[], [], [], []]
+    found: list[list[np.ndarray]] = [[], [], [], [], []]
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     low = np.uint64((1 << 24) - 1)
     for lo in range(0, max(0, total), BLOCK):
@@ -79,7 +80,7 @@ def runs(values: np.ndarray, first: np.ndarray, unit: Unit):
         e = np.append(b[1:], hi - lo)
         ok = valid[b]
         b, e = b[ok], e[ok]
-        for out, x in zip(found, (piece[b], b + lo, e + lo, h[at[b]]), strict=True):
+        for out, x in zip(found, (piece[b], b + lo, e + lo, h[at[b]], at[b] + lo), strict=True):
             out.append(x)
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
 
@@ -90,7 +91,7 @@ def _anchor_rows(unit: Unit):
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             for p in pieces(batch.column("text")):
                 values, first, _ = unit.values(p)
-                piece, _, _, h = runs(values, first, unit)
+                piece, _, _, h, _ = runs(values, first, unit)
                 if not len(h):
                     continue
                 h = h.view(np.int64)
@@ -115,7 +116,8 @@ def _key_of(payload: bytes) -> tuple[int, int]:
 
 def _segment_rows(unit: Unit):
     schema = pa.schema([("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                        ("rank", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("seg", pa.binary())])
+                        ("rank", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("off", pa.int32()),
+                        ("seg", pa.binary())])
 
     def rows(batches):
         for batch in batches:
@@ -123,7 +125,7 @@ def _segment_rows(unit: Unit):
             rank, wanted = batch.column("rank").to_numpy(), batch.column("hs")
             for p in pieces(batch.column("text")):
                 values, first, _ = unit.values(p)
-                piece, b, e, h = runs(values, first, unit)
+                piece, b, e, h, at = runs(values, first, unit)
                 h = h.view(np.int64)
                 edges = np.searchsorted(piece, np.arange(len(p.row) + 1))
                 out = [[] for _ in schema]
@@ -134,7 +136,7 @@ def _segment_rows(unit: Unit):
                         continue
                     for j in (lo + np.flatnonzero(np.isin(h[lo:hi], wanted[r].values.to_numpy()))).tolist():
                         seg = raw[b[j] : e[j] + unit.window - 1].tobytes()
-                        for o, x in zip(out, (h[j], *_key_of(seg), k1[r], k2[r], rank[r], b[j] - first[i], e[j] - b[j], seg),
+                        for o, x in zip(out, (h[j], *_key_of(seg), k1[r], k2[r], rank[r], b[j] - first[i], e[j] - b[j], at[j] - b[j], seg),
                                         strict=True):
                             o.append(x)
                 if out[0]:
@@ -143,7 +145,7 @@ def _segment_rows(unit: Unit):
     return rows
 
 
-SEGMENTS = "h long, s1 long, s2 long, k1 long, k2 long, rank long, at long, n int, seg binary"
+SEGMENTS = "h long, s1 long, s2 long, k1 long, k2 long, rank long, at long, n int, off int, seg binary"
 FLAGS = "h long, s1 long, s2 long, marks array<int>"
 
 
@@ -183,30 +185,36 @@ def _match_rows(match: Callable, unit: Unit, keep: str):
     return rows
 
 
-def _window_rows(unit: Unit):
-    """Fingerprints of every window of a segment; only read for buckets too large for one task."""
+def _split_rows(unit: Unit, block: int):
+    """Segments cut into blocks of windows whose distance to the anchor is alike. All windows of a block share a core,
+    so (bucket, block, core) is a finer bucket that still holds every pair of equal windows."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("h", "s1", "s2", "ph", "ps1", "ps2", "at")), ("n", pa.int32()),
+                        ("off", pa.int32()), ("seg", pa.binary()), ("rank", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
+                        ("place", pa.int64())])
 
     def rows(batches):
         for batch in batches:
-            h, s1, s2 = (batch.column(c).to_numpy() for c in ("h", "s1", "s2"))
-            for i, seg in enumerate(batch.column("seg").to_pylist()):
-                v = np.frombuffer(seg, np.uint8 if unit.size == 1 else np.uint64)
-                f = gram_hashes(byte_values(v) if unit.size == 1 else v, unit.window).view(np.int64)
-                yield pa.record_batch({"h": np.full(len(f), h[i]), "f": f, "s1": np.full(len(f), s1[i]),
-                                       "s2": np.full(len(f), s2[i]), "j": np.arange(len(f), dtype=np.int32)})
+            out = [[] for _ in schema]
+            for h, s1, s2, n, off, seg, head in zip(*[batch.column(c).to_pylist() for c in ("h", "s1", "s2", "n", "off", "seg",
+                                                                                            "head")], strict=True):
+                j = 0
+                while j < n:
+                    b = (off - j) // block
+                    end = min(n, off - b * block + 1)
+                    core = seg[(off - b * block) * unit.size : (off - (b + 1) * block + 1 + unit.window) * unit.size]
+                    sub = seg[j * unit.size : (end - 1 + unit.window) * unit.size]
+                    new = _key_of(b"%d,%d," % (h, b) + core)[0]
+                    for o, x in zip(out, (new, *_key_of(sub), h, s1, s2, j, end - j, off - j, sub, head["rank"], head["k1"],
+                                          head["k2"], head["at"] + j), strict=True):
+                        o.append(x)
+                    j = end
+            yield pa.record_batch([pa.array(x, t.type) for x, t in zip(out, schema, strict=True)], schema=schema)
 
     return rows
 
 
-def _mark_rows(batches):
-    for batch in batches:
-        marks = []
-        for js in batch.column("js"):
-            j = np.sort(js.values.to_numpy())
-            flags = np.zeros(int(j[-1]) + 1, bool)
-            flags[j] = True
-            marks.append(intervals(flags).astype(np.int32))
-        yield pa.record_batch({**{c: batch.column(c) for c in ("h", "s1", "s2")}, "marks": pa.array(marks, pa.list_(pa.int32()))})
+SPLIT = ("h long, s1 long, s2 long, ph long, ps1 long, ps2 long, at long, n int, off int, seg binary, rank long, k1 long, "
+         "k2 long, place long")
 
 
 def _digest_rows(unit: Unit, with_text: bool):
@@ -302,6 +310,43 @@ def remove(docs: DataFrame, unit: Unit, match: Callable, keep: str = "none", tex
         spark.sql(f"drop table if exists {name}")
 
 
+KEY = ["h", "s1", "s2"]
+#: Windows per block when a bucket is too large for one task, level after level; a block of one window ends it.
+SPLITS = (32, 6, 1)
+
+
+def _flags(items: DataFrame, unit, match, keep, bucket, splits) -> DataFrame:
+    """Distinct segments with ``n``, ``head`` (first holder), ``members`` and the ``marks`` of windows met in others."""
+    distinct = stored(items.groupBy(*KEY).agg(
+        F.first("seg").alias("seg"), F.first("n").alias("n"), F.first("off").alias("off"), F.min("head").alias("head"),
+        F.count(F.lit(1)).alias("members")))
+    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = stored(distinct.drop("members").join(sizes, "h"))
+    small = shared.where(F.col("c") <= bucket) if splits else shared
+    flags = small.select(*KEY, "seg", "head").repartition("h").sortWithinPartitions("h").mapInArrow(
+        _match_rows(match, unit, keep), FLAGS)
+    large = shared.where(F.col("c") > bucket)
+    if splits and not large.isEmpty():
+        parts = stored(large.mapInArrow(_split_rows(unit, splits[0]), SPLIT)).withColumn(
+            "head", F.struct("rank", "k1", "k2", F.col("place").alias("at")))
+        found = _spread(parts, _flags(parts, unit, match, keep, bucket, splits[1:]), keep, "ph", "ps1", "ps2")
+        flags = flags.unionByName(found.groupBy(F.col("ph").alias("h"), F.col("ps1").alias("s1"), F.col("ps2").alias("s2")).agg(
+            F.flatten(F.transform(F.collect_list("marks"), lambda m: m.cast("array<int>"))).alias("marks")))
+    return stored(distinct.select(*KEY, "n", "head", "members").join(flags, KEY, "left"))
+
+
+def _spread(items: DataFrame, flags: DataFrame, keep: str, *owner: str) -> DataFrame:
+    """Marks of distinct segments given to all their holders, as places within the holder."""
+    whole = F.array(F.lit(0), F.col("n"))
+    member = items.select(*KEY, *owner, "at", F.col("head").alias("own")).join(flags, KEY)
+    if keep == "first":
+        marks = F.when(F.col("own") == F.col("head"), F.col("marks")).otherwise(whole)
+    else:
+        marks = F.when(F.col("members") > 1, whole).otherwise(F.col("marks"))
+    return member.withColumn("marks", marks).where(F.size("marks") > 0).select(
+        *owner, F.transform("marks", lambda m: m.cast("long") + F.col("at")).alias("marks"))
+
+
 def _removed(rows, texts, unit, match, keep, order, bucket, with_text):
     anchors = texts.select("k1", "k2", "text").mapInArrow(_anchor_rows(unit), "h long, k1 long, k2 long")
     anchors = stored(anchors)
@@ -309,35 +354,8 @@ def _removed(rows, texts, unit, match, keep, order, bucket, with_text):
     wanted = anchors.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
     segments = stored(texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "rank", "text", "hs")
                       .mapInArrow(_segment_rows(unit), SEGMENTS))
-    key = ["h", "s1", "s2"]
-    head = F.struct("rank", "k1", "k2", "at")
-    distinct = stored(segments.groupBy(*key).agg(F.first("seg").alias("seg"), F.first("n").alias("n"), F.min(head).alias("head"),
-                                                 F.count(F.lit(1)).alias("members")))
-    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = stored(distinct.select(*key, "seg", "head").join(sizes, "h"))
-    small = shared.where(F.col("c") <= bucket).repartition("h").sortWithinPartitions("h").mapInArrow(
-        _match_rows(match, unit, keep), FLAGS)
-    windows = shared.where(F.col("c") > bucket).select(*key, "seg").mapInArrow(
-        _window_rows(unit), "h long, f long, s1 long, s2 long, j int")
-    if keep == "first":
-        windows = windows.join(shared.where(F.col("c") > bucket).select(*key, "head"), key)
-        met = windows.groupBy("h", "f").agg(F.min("head").alias("least"))
-        again = windows.join(met, ["h", "f"]).where(F.col("head") > F.col("least"))
-    else:
-        met = windows.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        again = windows.join(met, ["h", "f"])
-    large = again.groupBy(*key).agg(F.collect_list("j").alias("js")).mapInArrow(_mark_rows, FLAGS)
-    flags = small.unionByName(large)
-    whole = F.array(F.lit(0), F.col("n"))
-    marks = distinct.select(*key, "n", "head", "members").join(flags, key, "left")
-    member = segments.select(*key, "k1", "k2", "rank", "at").join(marks, key)
-    if keep == "first":
-        is_head = F.struct("rank", "k1", "k2", "at") == F.col("head")
-        member = member.withColumn("marks", F.when(is_head, F.col("marks")).otherwise(whole))
-    else:
-        member = member.withColumn("marks", F.when(F.col("members") > 1, whole).otherwise(F.col("marks")))
-    member = member.where(F.size("marks") > 0).select(
-        "k1", "k2", F.transform("marks", lambda m: m.cast("long") + F.col("at")).alias("marks"))
+    segments = segments.withColumn("head", F.struct("rank", "k1", "k2", F.col("at").alias("at")))
+    member = _spread(segments, _flags(segments, unit, match, keep, bucket, SPLITS), keep, "k1", "k2")
     marked = member.groupBy("k1", "k2").agg(F.collect_list("marks").alias("marks"))
     copied = (F.col("copies") > 1) if keep == "none" else F.lit(False)
     digest = stored(texts.join(marked, ["k1", "k2"], "left").select("k1", "k2", "text", copied.alias("copies"), "marks", "rank")
