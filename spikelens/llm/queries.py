@@ -32,3 +32,17 @@ def op2_substring_dedup(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup(docs, keep="none").select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "n_spans", "kept_sha256")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op3_best_fit_packing(spark, sf_dir):
+    """All documents packed into sequences of 4096 tokens."""
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), limit=4096, end=1)
