@@ -46,3 +46,13 @@ def op3_best_fit_packing(spark, sf_dir):
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), limit=4096, end=1)
+
+
+@query
+def op4_license_scan(spark, sf_dir):
+    """License phrases and templates in every document."""
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
