@@ -56,3 +56,19 @@ def op4_license_scan(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"))
 
 
+
+
+@query
+def op6_consistent_hash_ring(spark, sf_dir):
+    """All documents on 8 shards, counts at most one apart."""
+    from .ring import shard_rows
+
+    return shard_rows(table(spark, sf_dir, "documents"), shards=8)
+
+
+@query
+def op7_one_permutation_minhash(spark, sf_dir):
+    """Fingerprints of all documents and of their edited forms."""
+    from .fingerprints import edited
+
+    return edited(table(spark, sf_dir, "documents"))
