@@ -72,3 +72,11 @@ def op7_one_permutation_minhash(spark, sf_dir):
     from .fingerprints import edited
 
     return edited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_circulant_minhash(spark, sf_dir):
+    """Near-duplicate components of all documents on 2-word shingles."""
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
