@@ -80,3 +80,16 @@ def op8_circulant_minhash(spark, sf_dir):
     from .near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@query
+def op9_toxicity_crf(spark, sf_dir):
+    """Toxicity scores of all documents, learnt from the labels of four fifths of the labelled ones."""
+    from .toxicity import fit, sample, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(*sample(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return score(docs, model, keep=("doc_id",)).select(
+        "doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
