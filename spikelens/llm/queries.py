@@ -93,3 +93,19 @@ def op9_toxicity_crf(spark, sf_dir):
     return score(docs, model, keep=("doc_id",)).select(
         "doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
+
+
+@query
+def op10_benchmark_decontamination(spark, sf_dir):
+    """Documents that hold test items, whole or edited, with the aligned words and the score."""
+    from .decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_url_association_rules(spark, sf_dir):
+    """Verdicts on all pages' urls by rules, and by mined association rules where none fits."""
+    from .url_rules import judge
+
+    return judge(table(spark, sf_dir, "pages"))
