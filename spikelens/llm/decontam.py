@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F
 
-from .common import pieces, stored, word_hashes, word_spans
+from .common import pieces, word_hashes, word_spans
 from .licenses import GAP, LOWER
 
 GRAM = 4
@@ -101,37 +101,50 @@ def _seed_counts(seeds: np.ndarray, size: int):
     return rows
 
 
-def _matches(items: list[np.ndarray], ids: list, seeds: np.ndarray, owners: list, size: int, threshold: float, columns: tuple[str, ...]):
+class Finder:
+    """Items of one block with their seeds; finds (row, item id, score, first word, end word, seeds met) in a text column."""
+
+    def __init__(self, items: list[np.ndarray], ids: list, seeds: dict[int, list], size: int, threshold: float):
+        self.items, self.ids, self.size, self.threshold = items, ids, size, threshold
+        self.seeds = np.array(sorted(seeds), np.uint64)
+        self.owners = [seeds[s] for s in self.seeds.tolist()]
+
+    def find(self, column) -> Iterator[tuple[int, int, float, int, int, int]]:
+        for p in pieces(column):
+            h, first, _, _ = words_of(p)
+            x, place = grams(h, first, self.size)
+            if not len(self.seeds) or not len(x):
+                continue
+            at = np.minimum(np.searchsorted(self.seeds, x), len(self.seeds) - 1)
+            hit = np.flatnonzero(self.seeds[at] == x)
+            piece = np.searchsorted(first, place[hit], "right") - 1
+            found: dict = defaultdict(list)
+            for i, w, s in zip(piece.tolist(), place[hit].tolist(), at[hit].tolist(), strict=True):
+                for item, offset in self.owners[s]:
+                    found[i, item].append(w - offset)
+            for (i, item), starts in found.items():
+                words, lo, hi = self.items[item], int(first[i]), int(first[i + 1])
+                margin = len(words) // 2 + 4
+                spans: list = []
+                for s in sorted(starts):  # where the item would lie, with room for edits; near ones together
+                    a, b = max(lo, s - margin), min(hi, s + len(words) + margin)
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = max(b, spans[-1][1])
+                    else:
+                        spans.append([a, b])
+                best = (0, 0, 0)
+                for a, b in spans:
+                    score, x0, x1 = align(words, h[a:b])
+                    best = max(best, (score, a + x0, a + x1))
+                share = best[0] / (MATCH * len(words))
+                if share >= self.threshold:
+                    yield int(p.row[i]), self.ids[item], share, best[1] - lo, best[2] - lo, len(starts)
+
+
+def _leak_rows(finder: Finder, columns: tuple[str, ...]):
     def rows(batches):
         for batch in batches:
-            out: list = [[], [], [], [], [], []]
-            for p in pieces(batch.column("text")):
-                h, first, _, _ = words_of(p)
-                x, place = grams(h, first, size)
-                if not len(seeds) or not len(x):
-                    continue
-                at = np.minimum(np.searchsorted(seeds, x), len(seeds) - 1)
-                hit = np.flatnonzero(seeds[at] == x)
-                piece = np.searchsorted(first, place[hit], "right") - 1
-                found: dict = defaultdict(list)
-                for i, w, s in zip(piece.tolist(), place[hit].tolist(), at[hit].tolist(), strict=True):
-                    for item, offset in owners[s]:
-                        found[i, item].append(w - offset)
-                for (i, item), starts in found.items():
-                    words, lo, hi = items[item], int(first[i]), int(first[i + 1])
-                    margin = len(words) // 2 + 4
-                    spans: list = []
-                    for s in sorted(starts):  # where the item would lie, with room for edits; near ones together
-                        a, b = max(lo, s - margin), min(hi, s + len(words) + margin)
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(b, spans[-1][1])
-                        else:
-                            spans.append([a, b])
-                    score, a, b = max((lambda r, s=s: (r[0], s[0] + r[1], s[0] + r[2]))(align(words, h[s[0] : s[1]])) for s in spans)
-                    share = score / (MATCH * len(words))
-                    if share >= threshold:
-                        for o, v in zip(out, (int(p.row[i]), ids[item], share, a - lo, b - lo, len(starts)), strict=True):
-                            o.append(v)
+            out = [list(x) for x in zip(*finder.find(batch.column("text")), strict=True)] or [[] for _ in range(6)]
             at = pa.array(out[0], pa.int64())
             yield pa.record_batch([*[batch.column(c).take(at) for c in columns], pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()),
                                    *[pa.array(o, pa.int64()) for o in out[3:]]],
@@ -140,6 +153,16 @@ def _matches(items: list[np.ndarray], ids: list, seeds: np.ndarray, owners: list
     return rows
 
 
+def _clean_rows(finder: Finder, text: str):
+    def rows(batches):
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            ok[[r[0] for r in finder.find(batch.column(text))]] = False
+            yield batch.filter(pa.array(ok))
+
+    return rows
+
+
 def blocks(benchmark: DataFrame, item: str, text: str, size: int = BLOCK_BYTES) -> Iterator[list[Row]]:
     """Items, read as a stream, in lists of about ``size`` bytes of text."""
     held, n = [], 0
@@ -153,17 +176,10 @@ def blocks(benchmark: DataFrame, item: str, text: str, size: int = BLOCK_BYTES)
         yield held
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc: tuple[str, ...] = ("doc_id",), text: str = "text", item: str = "item_id",
-          item_text: str = "text", gram: int = GRAM, seeds: int = SEEDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(document, item) pairs whose best local alignment reaches ``threshold`` of the item's perfect score.
-
-    Columns: ``doc``, item_id, score, first_word, end_word (the aligned span of the text's words) and n_seeds. Items shorter
-    than an n-gram and null or empty texts match nothing. Two passes over the corpus per block of items, without shuffle of
-    texts.
-    """
-    rows = docs.select(*doc, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumnRenamed("__text", "text")
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    result = None
+def finders(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, gram: int, seeds: int,
+            threshold: float) -> Iterator[Finder]:
+    """One finder per block of items; each counts the block's n-grams in all of ``docs`` to choose the rarest."""
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     for block in blocks(benchmark, item, item_text):
         items = _item_words([r["text"] for r in block])
         places: dict[int, list] = defaultdict(list)
@@ -172,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: tuple[str, ...] = ("doc_id
             for s, a in zip(x.tolist(), at.tolist(), strict=True):
                 places[s].append((i, a))
         known = np.array(sorted(places), np.uint64)
-        counted = rows.select("text").mapInArrow(_seed_counts(known, gram), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+        counted = rows.mapInArrow(_seed_counts(known, gram), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         often = {int(known[r["seed"]]): r["n"] for r in counted.collect()}  # at most one row per n-gram of the block
         own: dict[int, list] = defaultdict(list)
         for s, where in places.items():
@@ -182,11 +198,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: tuple[str, ...] = ("doc_id
         for i, found in own.items():
             for _, a, s in sorted(found)[:seeds]:
                 kept[s].append((i, a))
-        chosen = np.array(sorted(kept), np.uint64)
-        part = rows.mapInArrow(_matches(items, [r["id"] for r in block], chosen, [kept[s] for s in chosen.tolist()], gram, threshold, doc),
-                               f"{kinds}item_id long, score double, first_word long, end_word long, n_seeds long")
-        part = stored(part) if result is not None else part
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        return docs.sparkSession.createDataFrame([], f"{kinds}item_id long, score double, first_word long, end_word long, n_seeds long")
+        yield Finder(items, [r["id"] for r in block], dict(kept), gram, threshold)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, doc: tuple[str, ...] = ("doc_id",), text: str = "text", item: str = "item_id",
+          item_text: str = "text", gram: int = GRAM, seeds: int = SEEDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(document, item) pairs whose best local alignment reaches ``threshold`` of the item's perfect score.
+
+    Columns: ``doc``, item_id, score, first_word, end_word (the aligned span of the text's words) and n_seeds. Items shorter
+    than an n-gram and null or empty texts match nothing. Two passes over the corpus per block of items, no shuffle of texts.
+    """
+    rows = docs.select(*doc, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumnRenamed("__text", "text")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    kinds += "item_id long, score double, first_word long, end_word long, n_seeds long"
+    result = docs.sparkSession.createDataFrame([], kinds)
+    for finder in finders(docs, benchmark, text, item, item_text, gram, seeds, threshold):
+        result = result.unionByName(rows.mapInArrow(_leak_rows(finder, doc), kinds))
     return result
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = GRAM,
+          seeds: int = SEEDS, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, all columns unchanged, that hold no test item; see ``leaks``. No shuffle takes place."""
+    out = docs
+    for finder in finders(docs, benchmark, text, item, item_text, gram, seeds, threshold):
+        out = out.mapInArrow(_clean_rows(finder, text), docs.schema)
+    return out

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mix, pieces, stored, word_hashes, word_spans
 from .graph import components
 from .licenses import LOWER
+from .repeats import keyed
 
 BANDS, ROWS = 24, 4  # a link at similarity 0.8 shares no bucket with probability 3e-6
 SALTS = 16
@@ -144,8 +145,31 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
     shingle; texts without words (nulls too) have an empty set and stay alone. ``doc`` is an integer; rows that share it
     are one document; a null never is the smallest id of its component unless all are null.
     """
-    from .repeats import keyed
+    out = labelled(docs, doc, text, shingle, percent, bands, rows)
+    own = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id"))
+    return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), own.alias("component_id"),
+                      F.col("doc").eqNullSafe(own).alias("kept"))
+
+
+def survivors(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
+              bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Rows of ``docs``, all columns unchanged, of which one of each component stays: the lowest ``doc``, nulls last.
 
+    Rows equal in ``doc`` and text are one document. Texts without words all stay.
+    """
+    order = F.coalesce(F.col(doc).cast("long"), F.lit(2**63 - 1))
+    found = labelled(docs, doc, text, shingle, percent, bands, rows).where("n > 0")
+    best = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc", F.lit(2**63 - 1)).alias("_order"), F.col("k1").alias("_k1"),
+                                                         F.col("k2").alias("_k2"))).alias("best")).select("best.*")
+    key = ["_order", "_k1", "_k2"]
+    source = keyed(docs, text).withColumn("_order", order)
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    full = source.where(~wordless).join(stored(best), key, "left_semi").dropDuplicates(key)
+    return full.unionByName(source.where(wordless)).drop(*key)
+
+
+def labelled(docs: DataFrame, doc: str, text: str, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc, text key (k1, k2), set size n, component (null for empty sets) and its lowest doc, one row per row."""
     source = keyed(docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")), "text")
     source = source.select("doc", F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text")
     profile = stored(source.mapInArrow(_profile_rows(shingle, bands, rows),
@@ -181,8 +205,5 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
         found = stored(components(links.unionByName(linked(more, sets, percent))))
     lows = nodes.join(found, "node", "left").withColumn("component", group)
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    result = lows.select("s1", "s2", "component").join(least, "component").select("s1", "s2", "component_id")
-    out = profile.select("doc", "n", "s1", "s2").join(stored(result), ["s1", "s2"], "left")
-    own = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), own.alias("component_id"),
-                      F.col("doc").eqNullSafe(own).alias("kept"))
+    result = lows.select("s1", "s2", "component").join(least, "component")
+    return profile.select("doc", "k1", "k2", "n", "s1", "s2").join(stored(result), ["s1", "s2"], "left").drop("s1", "s2")

@@ -229,7 +229,7 @@ def sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str =
     return found["text"].tolist(), found["toxic"].to_numpy(np.int64)
 
 
-def _score_rows(model: Model, columns: tuple[str, ...], with_spans: bool):
+def _score_rows(model: Model, columns: tuple[str, ...], with_spans: bool, name: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("__text").to_pylist()]
@@ -253,18 +253,20 @@ def _score_rows(model: Model, columns: tuple[str, ...], with_spans: bool):
             kept = [batch.column(c) for c in columns]
             more = [pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))] if with_spans else []
             yield pa.record_batch([*kept, pa.array(scores), *more],
-                                  names=[*columns, "toxic_score", *(["toxic_spans"] if with_spans else [])])
+                                  names=[*columns, f"{name}_score", *([f"{name}_spans"] if with_spans else [])])
 
     return rows
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] | None = None, with_spans: bool = True) -> DataFrame:
-    """Columns ``keep`` (all when not given) plus toxic_score (0 to 1) and toxic_spans (character offsets), one row per row.
+def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] | None = None, with_spans: bool = True,
+          name: str = "toxic") -> DataFrame:
+    """Columns ``keep`` (all when not given) plus ``name``_score (0 to 1) and ``name``_spans (character offsets), one row
+    per row. Columns that have these names already are replaced.
 
     Nulls are empty texts; a text without words gets the score of no evidence. No shuffle takes place.
     """
-    keep = tuple(docs.columns if keep is None else keep)
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in (f"{name}_score", f"{name}_spans"))
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    spans = ", toxic_spans array<struct<start: int, end: int>>" if with_spans else ""
-    return rows.mapInArrow(_score_rows(model, keep, with_spans), f"{schema}toxic_score double{spans}")
+    spans = f", `{name}_spans` array<struct<start: int, end: int>>" if with_spans else ""
+    return rows.mapInArrow(_score_rows(model, keep, with_spans, name), f"{schema}`{name}_score` double{spans}")
