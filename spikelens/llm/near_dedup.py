@@ -3,9 +3,9 @@
 Two permutations make all coordinates: the first scatters shingles over 2**32 places, the second is applied after a
 circular shift by the coordinate's number. Documents with equal shingle sets form one class, and classes are the nodes.
 
-Buckets are not expanded into pairs. In a first round each class of a bucket is compared with the bucket's lowest one;
-verified links give components. Only pairs of classes that share a bucket and are still in different components are
-looked at after that. Copies and chains of near copies are thus linked at a cost that follows the number of rows.
+Buckets are not expanded into pairs. In turns, each class of a bucket is compared with the bucket's leader, at first the
+class that meets the most others; verified links give components. Only pairs of classes that share a bucket and are
+still in different components are looked at after that. Copies and chains of near copies are thus linked at a cost that follows the number of rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from .repeats import keyed
 
 BANDS, ROWS = 24, 4  # a link at similarity 0.8 shares no bucket with probability 3e-6
 SALTS = 16
+TURNS = 3  # turns in which each bucket has one leader
 
 
 def permute(x: np.ndarray) -> np.ndarray:
@@ -168,6 +169,13 @@ def survivors(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle:
     return full.unionByName(source.where(wordless)).drop(*key)
 
 
+def _mixed(member: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with the component as ``group``."""
+    now = stored(member.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"))
+    mixed = now.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band")
+    return stored(now.join(mixed, "band"))
+
+
 def labelled(docs: DataFrame, doc: str, text: str, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
     """doc, text key (k1, k2), set size n, component (null for empty sets) and its lowest doc, one row per row."""
     source = keyed(docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")), "text")
@@ -180,29 +188,35 @@ def labelled(docs: DataFrame, doc: str, text: str, shingle: int, percent: int, b
                                                                   F.first(F.struct("k1", "k2")).alias("k"))
                    .withColumn("node", F.monotonically_increasing_id()))
     member = nodes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = member.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("center")).where("c > 1")
-    member = stored(member.join(buckets.select("band", "center"), "band"))
-    size = nodes.select(F.col("node").alias("center"), F.col("n").alias("m"))
-    near = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    pairs = stored(member.where("node <> center").select("center", "node", "n").distinct().join(size, "center").where(near)
-                   .select(F.col("center").alias("a"), F.col("node").alias("b")))
+    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    member = stored(member.join(shared, "band"))
+    # the class that meets the most others leads: what copies were made from meets all of them
+    weight = member.groupBy("node").agg(F.sum("c").alias("weight"))
+    member = stored(member.drop("c").join(weight, "node"))
     asked = member.select("node").distinct().join(nodes.select("node", "k.k1", "k.k2"), "node")
     one = source.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     sets = stored(one.join(asked, ["k1", "k2"]).select("node", "text").mapInArrow(_set_rows(shingle), "node long, set binary"))
-    links = linked(pairs, sets, percent)
-    found = stored(components(links))
-    # what is left: pairs of one bucket in different components, other than those with the center
-    group = F.coalesce("component", "node")
-    member = member.join(found, "node", "left").withColumn("group", group)
-    mixed = member.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band")
-    rest = stored(member.join(mixed, "band").where("node <> center").select("band", "node", "n", "group"))
+    near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    links = found = None
+    rest = member.withColumn("group", F.col("node"))
+    for turn in range(TURNS):
+        # one leader per bucket; later turns take any class as leader and only buckets that still hold several components
+        order = F.struct("weight", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn), "band").alias("weight"), "node")
+        lead = stored(rest.groupBy("band").agg(F.max(F.struct(order.alias("o"), "n", "group")).alias("lead")).select(
+            "band", F.col("lead.o.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.group").alias("group_a")))
+        pairs = (rest.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), "group").join(lead, "band")
+                 .where("a <> b and group <> group_a").where(near).select("a", "b").distinct())
+        new = linked(stored(pairs), sets, percent)
+        links = new if links is None else links.unionByName(new)
+        found = stored(components(links))
+        rest = _mixed(member, found)
+    # what is left: pairs of one bucket in different components, each of which has to be looked at
     left, right = (rest.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "group")]) for s in "ab")
-    more = (left.join(right, "band").where("node_a < node_b and group_a <> group_b")
-            .where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    more = stored(more)
+    more = stored(left.join(right, "band").where("node_a < node_b and group_a <> group_b").where(near)
+                  .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
     if not more.isEmpty():
         found = stored(components(links.unionByName(linked(more, sets, percent))))
+    group = F.coalesce("component", "node")
     lows = nodes.join(found, "node", "left").withColumn("component", group)
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
     result = lows.select("s1", "s2", "component").join(least, "component")
