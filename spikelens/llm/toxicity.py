@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Bounds of the sample the model is fitted on: labelled rows, and characters of a sampled text.
-SAMPLE_ROWS = 10_000
-SAMPLE_CHARS = 20_000
+SAMPLE_ROWS = 6_000
+SAMPLE_CHARS = 10_000
 CACHED_WORDS = 500_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 _LANES = 64
@@ -137,7 +137,8 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 40) -> Model:
     model = Model()
     if not len(toxic) or toxic.min() == toxic.max():
         return model
-    lists = [_TOKEN.findall(t) for t in texts]
+    same: dict[str, str] = {}  # one object per different word
+    lists = [[same.setdefault(w, w) for w in _TOKEN.findall(t)] for t in texts]
     counts = [Counter(), Counter()]
     sizes = [0, 0]
     seen = set()
@@ -207,8 +208,7 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 40) -> Model:
         model.trans = model.trans + 0.1 * gt / np.sqrt(trans_square)
     model.weights = {f: float(weight[i]) for f, i in names.items() if abs(weight[i]) > 1e-3}
     model.bias = float(bias)
-    p, at = model.words(texts)
-    s = model.summary(p, at)
+    s = np.concatenate([model.summary(*model.words(texts[i : i + 200])) for i in range(0, len(texts), 200)])
     b = np.zeros(3)
     for _ in range(25):  # Newton steps of a lightly penalised logistic fit
         q = 1 / (1 + np.exp(-np.clip(s @ b, -30, 30)))
