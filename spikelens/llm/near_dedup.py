@@ -4,8 +4,8 @@ Two permutations make all coordinates: the first scatters shingles over 2**32 pl
 circular shift by the coordinate's number. Documents with equal shingle sets form one class, and classes are the nodes.
 
 Buckets are not expanded into pairs. In turns, each class of a bucket is compared with the bucket's leader, at first the
-class that meets the most others; verified links give components. Only pairs of classes that share a bucket and are
-still in different components are looked at after that. Copies and chains of near copies are thus linked at a cost that follows the number of rows.
+class that meets the most others; verified links give components. Classes of buckets that still hold several components
+are then compared inside tasks, block by block, and only links that join components are put out. Copies and chains of near copies are thus linked at a cost that follows the number of rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from .repeats import keyed
 
 BANDS, ROWS = 24, 4  # a link at similarity 0.8 shares no bucket with probability 3e-6
 SALTS = 16
-TURNS = 3  # turns in which each bucket has one leader
+TURNS = 2  # turns in which each bucket has one leader
+BLOCK = 128  # classes per block when what is left is compared
 
 
 def permute(x: np.ndarray) -> np.ndarray:
@@ -176,6 +177,75 @@ def _mixed(member: DataFrame, found: DataFrame) -> DataFrame:
     return stored(now.join(mixed, "band"))
 
 
+def _compared(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share buckets, every pair of such classes looked at.
+
+    Classes tied by shared buckets form a cluster. A cluster is dealt into blocks of about ``BLOCK`` classes, and each
+    pair of blocks is compared inside one task; only links that join components leave it.
+    """
+    lead = rest.groupBy("band").agg(F.min("node").alias("a"))
+    cluster = components(rest.join(lead, "band").select("a", F.col("node").alias("b")).distinct())
+    one = stored(rest.select("node", "group").distinct().join(cluster.withColumnRenamed("component", "cluster"), "node"))
+    blocks = one.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("m"))
+    mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
+    dealt = one.join(blocks, "cluster").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.select("cluster", "node", "group", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    key = ["cluster", "p", "q"]
+    return stored(dealt.join(sets, "node").repartition(*key).sortWithinPartitions(*key, "own")
+                  .select(*key, "own", "node", "group", "set").mapInArrow(_compare_rows(percent), "a long, b long"))
+
+
+def _compare_rows(percent: int):
+    def compare(held):
+        own = np.array([r[0] for r in held])
+        part = [r[2] for r in held]
+        raw = [np.frombuffer(r[3], np.uint64) for r in held]
+        n = np.array([len(x) for x in raw])
+        ids = np.unique(np.concatenate(raw), return_inverse=True)[1]
+        ends = np.cumsum(n)
+        starts = ends - n
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        seen = np.zeros(int(ids.max()) + 1, bool)
+        for i in range(len(held) - 1):
+            after = np.arange(i + 1, len(held))
+            if own[0] != own[-1]:  # two blocks: pairs within one of them are another task's
+                after = after[own[after] != own[i]]
+            after = after[100 * np.minimum(n[i], n[after]) >= percent * np.maximum(n[i], n[after])]
+            after = [j for j in after.tolist() if find(part[j]) != find(part[i])]
+            if not after:
+                continue
+            seen[ids[starts[i] : ends[i]]] = True
+            for j in after:
+                both = int(np.count_nonzero(seen[ids[starts[j] : ends[j]]]))
+                if 100 * both >= percent * (n[i] + n[j] - both) and find(part[i]) != find(part[j]):
+                    root[find(part[i])] = find(part[j])
+                    yield held[i][1], held[j][1]
+            seen[ids[starts[i] : ends[i]]] = False
+
+    def rows(batches):
+        held, last = [], None
+        for batch in batches:
+            out = []
+            for c, p, q, *row in zip(*[batch.column(x).to_pylist() for x in ("cluster", "p", "q", "own", "node", "group", "set")], strict=True):
+                if (c, p, q) != last and held:
+                    out += compare(held)
+                    held = []
+                last = c, p, q
+                held.append(row)
+            yield pa.record_batch({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        if held:
+            out = list(compare(held))
+            yield pa.record_batch({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return rows
+
+
 def labelled(docs: DataFrame, doc: str, text: str, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
     """doc, text key (k1, k2), set size n, component (null for empty sets) and its lowest doc, one row per row."""
     source = keyed(docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")), "text")
@@ -210,12 +280,8 @@ def labelled(docs: DataFrame, doc: str, text: str, shingle: int, percent: int, b
         links = new if links is None else links.unionByName(new)
         found = stored(components(links))
         rest = _mixed(member, found)
-    # what is left: pairs of one bucket in different components, each of which has to be looked at
-    left, right = (rest.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "group")]) for s in "ab")
-    more = stored(left.join(right, "band").where("node_a < node_b and group_a <> group_b").where(near)
-                  .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    if not more.isEmpty():
-        found = stored(components(links.unionByName(linked(more, sets, percent))))
+    if not rest.isEmpty():
+        found = stored(components(links.unionByName(_compared(rest, sets, percent))))
     group = F.coalesce("component", "node")
     lows = nodes.join(found, "node", "left").withColumn("component", group)
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
