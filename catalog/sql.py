@@ -92,8 +92,9 @@ def sel(exprs: dict) -> str:
 
 
 _FROM = (
-    "from (select *, cast(json_extract(props, '$.k') as int) as k from events) e "
-    "join nation n on n.n_nationkey = e.user_id % 25 left join pages p on p.page_id = e.event_id % 200"
+    "from (select *, cast(json_extract(props, '$.k') as int) as k, (select count(*) from pages) as n_pages from events) e "
+    "join nation n on n.n_nationkey = e.user_id % 25 "
+    "left join pages p on e.event_id % 13 <> 12 and p.page_id = e.event_id % e.n_pages"
 )
 
 # name -> (names it needs, text)

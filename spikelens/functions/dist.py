@@ -16,10 +16,12 @@ SPREAD = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see: the cluster's setting, or a temporary one when unset."""
+    """Folder all executors see: the cluster's setting; on a local master a temporary one when that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     fallback = tempfile.mkdtemp(prefix="spikelens-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
@@ -43,15 +45,6 @@ def pin(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in columns or df.columns]))))
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """A plain table scan with fewer splits than cores, dealt out to all cores.
-
-    Large tables have more splits than cores and are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def attach(
     big: DataFrame,
     small: DataFrame,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.dist import pin, spread_small
+from ..functions.dist import pin
 
 EXPR = {
     "event_id": "e.event_id",
@@ -76,13 +76,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _joined(spark: SparkSession, sf_dir: str, place: bool, url: bool) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    df = spread_small(table(spark, sf_dir, "events")).withColumn("k", k).alias("e")
+    df = table(spark, sf_dir, "events").withColumn("k", k).alias("e")
     if place:
         nation = table(spark, sf_dir, "nation").alias("n")
         df = df.join(nation, F.expr("n.n_nationkey = e.user_id % 25"))
     if url:
-        pages = table(spark, sf_dir, "pages").select("page_id", "url").alias("p")
-        df = df.join(pages, F.expr("p.page_id = e.event_id % 200"), "left")
+        pages = table(spark, sf_dir, "pages").select("page_id", "url")
+        # every page is some event's source; every thirteenth event has none
+        n = max(1, pages.count())
+        df = df.join(pages.alias("p"), F.expr(f"e.event_id % 13 <> 12 and p.page_id = e.event_id % {n}"), "left")
     return df
 
 
