@@ -7,6 +7,7 @@ held by a third of all pieces is spread over the salts, and meet the plan in a j
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right
@@ -28,6 +29,7 @@ PER_SALT = 200_000
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores already
     return Tokenizer.from_file(path)
 
 
