@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -33,6 +34,41 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# Words of these letters alone are one piece to the tokenizer, unchanged by its normaliser.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+_LETTERS_ONLY = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+@cache
+def _byte_forms(path: str) -> dict[int, str] | None:
+    """How the model's vocabulary spells each of ``_LETTERS``; None if words of them cannot go to the model directly."""
+    tokenizer = _tokenizer(path)
+    if tokenizer.pre_tokenizer is None:
+        return None
+    forms = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+    for word in (_LETTERS, _LETTERS[::-1], *(a + b for a in _LETTERS for b in "aet\xe9\xdf")):
+        ids = tokenizer.encode(word, add_special_tokens=False).ids
+        if [t.id for t in tokenizer.model.tokenize(word.translate(forms))] != ids:
+            return None
+    return forms
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _encode_words(words: list[bytes], path: str) -> dict[bytes, bytes]:
+    """Ids of different words. Letters-only words skip the normaliser and the splitter, which take most of the time."""
+    forms, model = _byte_forms(path), _tokenizer(path).model
+    plain = {w for w in words if _LETTERS_ONLY.fullmatch(w)} if forms else set()
+    out = {w: _packed([t.id for t in model.tokenize(w.decode().translate(forms))]) for w in plain}
+    rest = [w for w in words if w not in plain]
+    if rest:
+        got = _tokenizer(path).encode_batch([w.decode() for w in rest], add_special_tokens=False)
+        out.update((w, _packed(e.ids)) for w, e in zip(rest, got, strict=True))
+    return out
+
+
 # The tokenizer lower-cases, and parts a letter or digit from a full stop or comma, so both may be done first, which leaves
 # fewer different words. Not where marks combine with letters (U+0300 to U+036F) or special tokens may be written out.
 _UNSAFE = (b"\xcc", b"\xcd", b"<|")
@@ -53,8 +89,7 @@ def encode(text: bytes, path: str) -> bytes:
     found = list(map(known.get, words))
     if None in found:
         new = list({w for w, x in zip(words, found, strict=True) if x is None})
-        got = _tokenizer(path).encode_batch([w.decode() for w in new], add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, got, strict=True)}
+        ids = _encode_words(new, path)
         if len(known) + len(ids) <= CACHED_WORDS:
             known.update(ids)
         found = [ids[w] if x is None else x for w, x in zip(words, found, strict=True)]
