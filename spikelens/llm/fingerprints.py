@@ -63,22 +63,27 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(share)
 
 
-def with_next(docs: DataFrame, key: str, columns: tuple[str, ...], group: int = 512) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: tuple[str, ...], group: int = 512, keys: DataFrame | None = None) -> DataFrame:
     """``docs`` plus ``next_<column>`` of the row that follows in descending ``key``; the first follows the last.
 
     Rows are cut into runs of keys at approximate quantiles, at most ``group`` of them, so runs are about equal. The
     largest row of each run also stands, as a guest, at the end of the run before it; so one shuffle and a window within
-    each run see every neighbour. Rows with equal keys follow each other by text; null keys come last.
+    each run see every neighbour. Rows with equal keys follow each other by text; null keys come last. ``keys``, a table
+    with the same keys, is read for the cuts in place of ``docs`` where the other columns are costly.
     """
-    ids = docs.select(F.col(key).cast("long").alias("k"))
+    ids = (docs if keys is None else keys).select(F.col(key).cast("long").alias("k"))
     n = ids.count()
     cuts: list = []
     if n:
         runs = max(1, min(group, n // 16))
         cuts = sorted({c for c in ids.agg(F.percentile_approx("k", [i / runs for i in range(1, runs)] or [0.5], 20 * group)).first()[0] or []})
     run = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("_k")))
-    rows = docs.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("_run", run)
-    heads = {r["_run"]: r["m"] for r in rows.groupBy("_run").agg(F.max("_k").alias("m")).collect()}  # at most `group` rows
+
+    def placed(df: DataFrame, column: str) -> DataFrame:
+        return df.withColumn("_k", F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))).withColumn("_run", run)
+
+    rows = placed(docs, key)
+    heads = {r["_run"]: r["m"] for r in placed(ids, "k").groupBy("_run").agg(F.max("_k").alias("m")).collect()}  # at most `group` rows
     order = sorted(heads, reverse=True)
     before = {heads[r]: order[i - 1] for i, r in enumerate(order)}  # the run that shows this head as a guest, wrapping round
     return _lead(rows, before, columns)
@@ -102,7 +107,7 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Columns: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(fingerprint(rows, "text", "fingerprint"), key, ("text", "fingerprint"))
+    rows = with_next(fingerprint(rows, "text", "fingerprint"), key, ("text", "fingerprint"), keys=docs)
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.select(key, "fingerprint", n.cast("long").alias("n_chars"), "next_fingerprint",
