@@ -42,9 +42,21 @@ def _(spark, sf):
 _HTML = "html"
 for _tag in C.DROPPED_TAGS:
     _HTML = f"regexp_replace({_HTML}, '(?is)<{_tag}(?:\\s[^>]*)?>.*?</{_tag}\\s*>', ' ', 'g')"
-_PLAIN = "trim(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
-_NATIVE = (f"array_to_string(list_filter(list_transform(regexp_extract_all({_HTML}, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), "
-           f"lambda p: {_PLAIN}), lambda p: length(p) > {C.MIN_PARAGRAPH_CHARS}), ' ')")
+_HTML = f"replace(regexp_replace({_HTML}, '(?s)<!--.*?-->', ' ', 'g'), chr(1), ' ')"
+_PARTS = f"string_split(regexp_replace({_HTML}, '(?i)<p(?:\\s[^>]*)?/?>', chr(1), 'g'), chr(1))[2:]"
+_ENDS = f"'(?is)</?(?:{'|'.join(C.BLOCK_TAGS)})(?:\\s[^>]*)?/?>.*\\z'"
+_NUMBER = "lower(regexp_extract(r, '(?i)^(x[0-9a-f]{1,6}|[0-9]{1,7});', 1))"
+_CODE = f"(case when {_NUMBER} like 'x%' then '0' || {_NUMBER} else {_NUMBER} end)::int"
+_ONE = (f"case when {_NUMBER} = '' then '&#' || r else (case when {_CODE} = 38 then '&amp;' when {_CODE} between 1 and 55295 or {_CODE} "
+        f"between 57344 and 1114111 then chr({_CODE}) else chr(65533) end) || substr(r, length({_NUMBER}) + 2) end")
+_BARE = f"regexp_replace(regexp_replace(p, {_ENDS}, ''), '<[^>]*>', ' ', 'g')"
+_PLAIN = (f"string_split({_BARE}, '&#')[1] || coalesce(array_to_string(list_transform(string_split({_BARE}, '&#')[2:], lambda r: {_ONE}), "
+          "''), '')")
+for _name, _char in (*C.CHARACTER_REFERENCES, ("amp", "&")):
+    _PLAIN = f"replace({_PLAIN}, {quote(f'&{_name};')}, {quote(_char)})"
+_PLAIN = f"trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g'))"
+_NATIVE = (f"coalesce(array_to_string(list_filter(list_transform({_PARTS}, lambda p: {_PLAIN}), "
+           f"lambda p: length(p) > {C.MIN_PARAGRAPH_CHARS}), ' '), '')")
 
 
 def clean_sql(x: str) -> str:
@@ -52,18 +64,19 @@ def clean_sql(x: str) -> str:
             f"'[^\\x20-\\x7E]', ' ', 'g'))")
 
 
-@query("txt1_page_text")
+@query("txt1_page_text", f"""select page_id, length(t) as n_chars, md5(t) as digest from (select page_id, {_NATIVE} as t
+    from pages)""")
 def _(spark, sf):
-    """Main text by a tolerant HTML parser."""
-    return V.extract_text(pages(spark, sf)).select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    """Main text: paragraphs, open ones too."""
+    return V.read_pages(pages(spark, sf)).select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-@query("txt1_page_text_native", f"""select page_id, length(t) as n_chars, md5(t) as digest from (select page_id, {_NATIVE} as t
+@query("txt1_page_text_native", f"""select page_id, length(t) as n_chars, md5(t) as digest from (select page_id, {clean_sql(_NATIVE)} as t
     from pages)""")
 def _(spark, sf):
-    """Closed paragraphs by regular expressions."""
-    text = V.paragraphs_native(F.col("html"))
-    return pages(spark, sf).select("page_id", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("digest"))
+    """Main text, cleaned as articles are."""
+    text = V.clean_article(F.col("text"))
+    return V.read_pages(pages(spark, sf)).select("page_id", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("digest"))
 
 
 @query("txt2_clean_text", f"""select doc_id, length(t) as n_chars, md5(t) as digest from (select doc_id, {clean_sql('text')} as t
@@ -86,14 +99,9 @@ add("articles", ["urls", "store"], f"""select day, country, rank, source_url, {a
     from urls join store on url_key = substr(md5(source_url), 1, 16) where rank <= 10 and length(text) >= 150""")
 
 
-def articles(spark, sf, native=True):
+def articles(spark, sf):
     """Texts behind the first URLs of each spike."""
-    p = pages(spark, sf)
-    if native:
-        store = V.page_store(p, V.clean_article(V.paragraphs_native(F.col("html"))))
-    else:
-        store = V.page_store(V.extract_text(p), V.clean_article(F.col("text")))
-    return V.spike_articles(urls(spark, sf, 3 * C.MAX_ARTICLES), store)
+    return V.spike_articles(urls(spark, sf, 3 * C.MAX_ARTICLES), pages(spark, sf))
 
 
 @query("txt3_spike_articles", with_ctes("select day, country, rank, source_url, domain, md5(text) as digest from articles",
@@ -223,7 +231,7 @@ def _(spark, sf):
 
 def retrieved(spark, sf, k=C.EVIDENCE_TOP_K):
     """Passages of each spike closest to the spike's search text."""
-    pieces = settle(V.chunk(articles(spark, sf, native=False)))
+    pieces = settle(V.chunk(articles(spark, sf)))
     model = V.fit_embedder(pieces)
     ev = events(spark, sf, place=False, url=False)
     asked = V.embed(V.spike_queries(B.burst_table(ev)), model)

@@ -201,6 +201,15 @@ BLOCKED_DOMAINS = (
     "t.co", "bit.ly", "tinyurl.com",
 )
 DROPPED_TAGS = ("script", "style", "nav", "header", "footer", "aside", "form", "button", "noscript")
+# Fixed values of HTML: tags that end an open paragraph, and common named character references.
+BLOCK_TAGS = (
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
+    "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html",
+    "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "td", "th", "ul")
+CHARACTER_REFERENCES = (
+    ("apos", "'"), ("copy", "©"), ("euro", "€"), ("gt", ">"), ("hellip", "…"), ("laquo", "«"), ("ldquo", "“"),
+    ("lsquo", "‘"), ("lt", "<"), ("mdash", "—"), ("middot", "·"), ("nbsp", " "), ("ndash", "–"),
+    ("pound", "£"), ("quot", '"'), ("raquo", "»"), ("rdquo", "”"), ("reg", "®"), ("rsquo", "’"))
 MIN_PARAGRAPH_CHARS = 40
 MIN_ARTICLE_CHARS = 150
 MAX_ARTICLE_CHARS = 8000

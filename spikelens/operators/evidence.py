@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.dist import attach, top_k
+from ..functions.dist import attach, pin, settle, top_k
 from .bursts import burst_days
 from .keywords import tokens
 
@@ -41,15 +41,24 @@ def url_key(url: Column) -> Column:
     return F.substring(F.md5(url), 1, 16)
 
 
-def page_store(pages: DataFrame, text: Column) -> DataFrame:
-    """One text per URL key; the lowest page id when a URL was stored twice."""
-    return pages.select(url_key(F.col("url")).alias("url_key"), "page_id", text.alias("text")).groupBy("url_key").agg(
-        F.min_by("text", "page_id").alias("text"))
+def page_store(pages: DataFrame, keys: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Text per wanted ``url_key`` of ``keys``; the lowest page id when a URL was stored twice.
+
+    Pages are cut down to the wanted ones by key alone, and only these are parsed by ``read``.
+    """
+    keyed = pages.withColumn("url_key", url_key(F.col("url")))
+    held = attach(keyed.select("url_key", "page_id"), keys, ["url_key"], "left_semi", spread=["page_id"])
+    first = settle(held.groupBy("url_key").agg(F.min("page_id").alias("page_id")))
+    wanted = attach(keyed, first, ["url_key", "page_id"], "left_semi", spread=["page_id"])
+    return read(wanted.select("page_id", "url", "html")).select(
+        url_key(F.col("url")).alias("url_key"), clean_article(F.col("text")).alias("text"))
 
 
-def spike_articles(urls: DataFrame, store: DataFrame, attempts: int = C.MAX_ARTICLES) -> DataFrame:
+def spike_articles(urls: DataFrame, pages: DataFrame, attempts: int = C.MAX_ARTICLES,
+                   read: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Texts of the first ``attempts`` URLs of each spike that are long enough."""
-    tried = urls.where(F.col("rank") <= attempts).withColumn("url_key", url_key(F.col("source_url")))
+    tried = settle(urls.where(F.col("rank") <= attempts).withColumn("url_key", url_key(F.col("source_url"))))
+    store = page_store(pages, settle(tried.select("url_key").distinct()), read or read_pages)
     return (
         tried.join(store, "url_key").where(F.length("text") >= C.MIN_ARTICLE_CHARS)
         .select(*KEYS, "rank", "source_url", X.article_domain(F.col("source_url")).alias("domain"), "text")
@@ -115,15 +124,44 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
 
 def paragraphs_native(html: Column) -> Column:
-    """Closed <p> elements longer than the minimum, by regular expressions inside the JVM.
+    """Texts of paragraphs longer than the minimum, by regular expressions inside the JVM.
 
-    For well-formed pages; character references stay as they are.
+    As in HTML, a paragraph ends at its end tag, at the next paragraph or at any block element, so an open one is kept
+    and none is listed twice. Character references are decoded after tags are gone.
     """
     for tag in C.DROPPED_TAGS:
         html = F.regexp_replace(html, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", " ")
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
-    plain = F.transform(found, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"<[^>]*>", " "), r"\s+", " ")))
-    return F.array_join(F.filter(plain, lambda p: F.length(p) > C.MIN_PARAGRAPH_CHARS), " ")
+    html = F.translate(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), "\x01", " ")
+    parts = F.split(F.regexp_replace(html, r"(?i)<p(?:\s[^>]*)?/?>", "\x01"), "\x01")
+    ends = rf"(?is)</?(?:{'|'.join(C.BLOCK_TAGS)})(?:\s[^>]*)?/?>.*\z"
+    inside = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.regexp_replace(p, ends, ""))
+    plain = F.transform(inside, lambda p: F.trim(F.regexp_replace(unescaped(F.regexp_replace(p, r"<[^>]*>", " ")), r"\s+", " ")))
+    return F.coalesce(F.array_join(F.filter(plain, lambda p: F.length(p) > C.MIN_PARAGRAPH_CHARS), " "), F.lit(""))
+
+
+def unescaped(text: Column) -> Column:
+    """Numeric and common named character references as characters; numbers of no character become U+FFFD."""
+
+    def one(rest: Column) -> Column:
+        number = F.lower(F.regexp_extract(rest, r"(?i)^(x[0-9a-f]{1,6}|[0-9]{1,7});", 1))
+        code = F.when(F.startswith(number, F.lit("x")), F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        # an ampersand waits for the named ones, so that it begins none of them
+        char = F.when(code == 38, F.lit("&amp;")).when(
+            valid, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+        return F.when(number == "", F.concat(F.lit("&#"), rest)).otherwise(
+            F.concat(char, F.substr(rest, F.length(number) + 2)))
+
+    parts = F.split(text, "&#")
+    text = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+    for name, char in (*C.CHARACTER_REFERENCES, ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Main text of each page by the JVM reader."""
+    return pages.select("page_id", "url", paragraphs_native(F.col("html")).alias("text"))
 
 
 def clean_article(text: Column, max_chars: int | None = None) -> Column:
@@ -135,41 +173,40 @@ def clean_article(text: Column, max_chars: int | None = None) -> Column:
 
 # --- passages ----------------------------------------------------------------
 
-def split_text(text: str, size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP) -> Iterator[str]:
-    """Overlapping pieces, cut after the last ". " near the end of each when there is one."""
-    text = " ".join((text or "").split())
-    start = 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            stop = text.rfind(". ", start + size - C.CHUNK_LOOKBACK, end)
-            end = end if stop < 0 else stop + 2
-        piece = text[start:end].strip()
-        if len(piece) >= C.MIN_CHUNK_CHARS:
-            yield piece
-        start = end - overlap if end - overlap > start else start + max(1, size - overlap)
-
-
 def chunk(docs: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
-    """Pieces of each text as ``(chunk_idx, text)`` rows with all other columns repeated.
+    """Overlapping pieces of each text as ``(chunk_idx, text)`` rows with all other columns repeated.
 
-    Each cut depends on the one before, so this is per-row Python; rows leave one
-    input batch at a time.
+    A piece ends after the last ". " near its end when there is one. Each cut depends on the one before, so the cuts of a
+    text are a fold. It reads from blocks as long as a piece, of which a piece meets two, so a step costs the same
+    anywhere in a long text.
     """
-    others = [f for f in docs.schema.fields if f.name != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["chunk_idx int", f"`{text}` string"])
-    names = [f.name for f in others]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pieces = pdf[text].map(lambda t: list(enumerate(split_text(t, size, overlap))))
-            out = pdf[names].assign(_p=pieces).explode("_p").dropna(subset=["_p"])
-            if len(out):
-                out["chunk_idx"] = [p[0] for p in out["_p"]]
-                out[text] = [p[1] for p in out["_p"]]
-                yield out.drop(columns="_p")[names + ["chunk_idx", text]]
-
-    return docs.select(*names, text).mapInPandas(run, schema)
+    others = [c for c in docs.columns if c != text]
+    flat = pin(docs.select(*others, F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")).alias("_flat")))
+    flat = pin(flat.select(*others, F.length("_flat").alias("_n"),
+                           F.regexp_extract_all("_flat", F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)).alias("_blocks")))
+    head = size - C.CHUNK_LOOKBACK
+
+    def part(start: Column, length: Column) -> Column:
+        block = F.floor(start / size).cast("int")
+        two = F.concat(F.get("_blocks", block), F.coalesce(F.get("_blocks", block + 1), F.lit("")))
+        return F.substring(two, start % size + 1, length)
+
+    def cut(state: Column, _: Column) -> Column:
+        start = state["start"]
+        back = F.instr(F.reverse(part(start + head, F.lit(C.CHUNK_LOOKBACK))), F.lit(" ."))
+        whole = F.least(F.lit(size), F.col("_n") - start)
+        length = F.when((start + size < F.col("_n")) & (back > 0), F.lit(size + 1) - back).otherwise(whole)
+        step = F.when(length > overlap, length - overlap).otherwise(F.lit(max(1, size - overlap)))
+        done = F.concat(state["cuts"], F.array(F.struct(start.alias("start"), length.alias("length"))))
+        return F.when(start >= F.col("_n"), state).otherwise(F.struct((start + step).alias("start"), done.alias("cuts")))
+
+    shortest = max(1, head + 2 - overlap)  # a step, but for the last two, which meet the end of the text
+    state = F.aggregate(
+        F.sequence(F.lit(0), F.floor(F.col("_n") / shortest).cast("int") + 2),
+        F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start: int, length: int>>").alias("cuts")), cut)
+    pieces = F.transform(state["cuts"], lambda c: F.trim(part(c["start"], c["length"])))
+    pieces = F.filter(pieces, lambda p: F.length(p) >= C.MIN_CHUNK_CHARS)
+    return flat.select(*others, F.inline(F.transform(pieces, lambda p, i: F.struct(i.alias("chunk_idx"), p.alias(text)))))
 
 
 def fixed_chunks(docs: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:

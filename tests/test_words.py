@@ -105,6 +105,35 @@ def test_page_text():
     assert V.page_text("") == "" and V.page_text(None) == ""
 
 
+def test_jvm_reader_ends_paragraphs_as_html_does(spark):
+    long = "This paragraph is certainly longer than forty characters."
+    pages = [
+        (f"<p>{long}</p><nav><p>{long}</p></nav><p>short</p>", long),
+        (f"<script>var a='<p>{long}</p>'</script><P class=x>A &amp; B <b>{long}</b><br>end</P>", f"A & B {long} end"),
+        (f"<p>{long}<p>{long}", f"{long} {long}"),
+        (f"<p>{long}<div>not this, which is also long enough to be a paragraph</div><pre>nor {long}</pre>", long),
+        (f"<p>{long} open to the end", f"{long} open to the end"),
+        (f"<!-- <p>{long}</p> --><p>&#65;&#x2014;&#38;lt; &#55296; &#12 &quot;{long}&quot;", f'A—&lt; � &#12 "{long}"'),
+        ("", ""), (None, "")]
+    df = spark.createDataFrame([(i, "u", html) for i, (html, _) in enumerate(pages)], "page_id bigint, url string, html string")
+    assert [r.text for r in V.read_pages(df).orderBy("page_id").collect()] == [text for _, text in pages]
+
+
+def test_only_wanted_pages_are_read(spark):
+    html = f"<p>{'w' * 200}</p>"
+    df = spark.createDataFrame([(2, "a", html), (1, "a", f"<p>{'v' * 200}</p>"), (3, "b", html), (4, None, html)],
+                               "page_id bigint, url string, html string")
+    wanted = settle(df.where("url = 'a'").select(V.url_key(F.col("url")).alias("url_key")).distinct())
+    seen = []
+
+    def read(pages):
+        seen.append([r.page_id for r in pages.collect()])
+        return V.read_pages(pages)
+
+    assert [r.text for r in V.page_store(df, wanted, read).collect()] == ["v" * 200]
+    assert seen == [[1]]
+
+
 def test_context_block_stops_at_the_first_that_does_not_fit(spark):
     rows = [(1, i, "d.com", "u", 0.5, "t" * n) for i, n in ((1, 100), (2, 5000), (3, 10))]
     df = spark.createDataFrame(rows, "k int, rank int, domain string, source_url string, score double, text string")
