@@ -97,7 +97,9 @@ def top_k(
 
 
 def prefer(df: DataFrame, condition: Column) -> DataFrame:
-    """Rows that meet ``condition``; all rows when none does (a null counts as not met)."""
-    hit = F.coalesce(condition, F.lit(False))
-    any_hit = df.where(hit).limit(1).agg(F.count(F.lit(1)) > 0).scalar()
-    return df.where(hit | ~any_hit)
+    """Rows that meet ``condition``; all rows when none does (a null counts as not met).
+
+    One row decides at once, so that the plain condition, or none, reaches the scan.
+    """
+    hits = df.where(condition)
+    return df if hits.isEmpty() else hits

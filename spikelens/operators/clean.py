@@ -78,8 +78,8 @@ def tag_stages(raw: DataFrame, cutoff: str = C.CUTOFF_DATE, country_codes=None)
 def first_per_event(df: DataFrame, id_col: str = "GLOBALEVENTID", order=("file_name", "line_no")) -> DataFrame:
     """One row per id, the earliest in file order.
 
-    A grouped minimum combines on the map side, so an id repeated many times
-    costs its repeats only once per partition.
+    A grouped minimum leaves one row per id and partition before the shuffle. Rows
+    are wide, so Spark sorts them by id for it on both sides.
     """
     others = [c for c in df.columns if c != id_col]
     kept = F.min_by(F.struct(*others), F.struct(*order)).alias("row")

@@ -267,14 +267,23 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
         F.col(group).cast("bigint").alias("query_id"), F.transform("e", lambda x: x / norm).alias("embedding"))
 
 
-def _best(ids, vectors, query_ids, queries, k: int) -> pd.DataFrame:
-    """Best ``k`` rows per query of one block; equal scores by id."""
-    scores = np.round(queries @ vectors.T, 6)
-    out = []
-    for q, row in zip(query_ids, scores):
-        top = np.lexsort((ids, -row))[:k]
-        out.append(pd.DataFrame({"query_id": q, "vec_id": ids[top], "score": row[top]}))
-    return pd.concat(out, ignore_index=True)
+def _leaders(ids, row, k: int):
+    """Ids and scores of the best ``k`` of one query; equal scores by id."""
+    at = np.arange(len(row))
+    if len(row) > k:
+        at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+    at = at[np.lexsort((ids[at], -row[at]))[:k]]
+    return ids[at], row[at]
+
+
+def _block_leaders(ids, vectors, queries, k: int) -> list:
+    return [_leaders(ids, row, k) for row in np.round(queries @ vectors.T, 6)]
+
+
+def _ranked_frame(query_ids, best: list) -> pd.DataFrame:
+    sizes = [len(ids) for ids, _ in best]
+    return pd.DataFrame({"query_id": np.repeat(query_ids, sizes), "vec_id": np.concatenate([ids for ids, _ in best]),
+                         "score": np.concatenate([scores for _, scores in best])})
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -282,8 +291,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ``queries (query_id, embedding)``, both bigint ids and unit vectors.
 
     A counted, small query set goes to every task, where each Arrow batch becomes one
-    matrix product and leaves ``k`` rows per query. More queries are cut into blocks
-    that meet the vector blocks in a cogroup, each of bounded size.
+    matrix product; a partition keeps a running best ``k`` per query and puts it out once.
+    More queries are cut into blocks that meet the vector blocks in a cogroup, each of
+    bounded size.
     """
     schema = "query_id bigint, vec_id bigint, score double"
     n_queries = queries.count()
@@ -293,10 +303,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         matrix = np.array(held["embedding"].tolist(), dtype="float64").reshape(len(held), -1)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
             for pdf in batches:
                 if len(pdf) and len(query_ids):
                     block = np.array(pdf["embedding"].tolist(), dtype="float64")
-                    yield _best(pdf["vec_id"].to_numpy(), block, query_ids, matrix, k)
+                    new = _block_leaders(pdf["vec_id"].to_numpy(), block, matrix, k)
+                    best = new if best is None else [
+                        _leaders(np.append(a, c), np.append(b, d), k) for (a, b), (c, d) in zip(best, new)]
+            if best is not None:
+                yield _ranked_frame(query_ids, best)
 
         partial = vectors.select("vec_id", "embedding").mapInPandas(run, schema)
     else:
@@ -318,7 +333,8 @@ def _block_search(vectors, queries, n_queries, k, schema) -> DataFrame:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
                 {"query_id": "int64", "vec_id": "int64", "score": "float64"})
         stack = lambda s: np.array(s.tolist(), dtype="float64")
-        return _best(v["vec_id"].to_numpy(), stack(v["embedding"]), q["query_id"].to_numpy(), stack(q["embedding"]), k)
+        best = _block_leaders(v["vec_id"].to_numpy(), stack(v["embedding"]), stack(q["embedding"]), k)
+        return _ranked_frame(q["query_id"].to_numpy(), best)
 
     left = blocks(vectors, "vec_id", "_v", vb, "_q", qb).groupBy("_v", "_q")
     right = blocks(queries, "query_id", "_q", qb, "_v", vb).groupBy("_v", "_q")
