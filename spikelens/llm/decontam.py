@@ -1,13 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
-The corpus is counted for the n-grams of the test items alone, and each item keeps its rarest ones as seeds. Seeds found in
-a text lead to (text, item) pairs where they lie; an item held by a third of all texts costs each of them its own alignment
-and no shuffle. Items are taken in blocks of bounded size, so what tasks receive does not grow with the benchmark.
+All n-grams of the test items are seeds. Seeds found in a text lead to (text, item) pairs where they lie; an item held by a
+third of all texts costs each of them its own alignment and no shuffle. Items are taken in blocks of bounded size, so what tasks receive does not grow with the benchmark.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +16,6 @@ from .common import pieces, word_hashes, word_spans
 from .licenses import GAP, LOWER
 
 GRAM = 4
-SEEDS = 48  # per item, the rarest; an item with fewer n-grams uses all
 BLOCK_BYTES = 4 << 20  # items' text per pass over the corpus
 MATCH, MISMATCH, SPACE = 2, -1, -1
 THRESHOLD = 0.5
@@ -85,31 +82,33 @@ def _item_words(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _seed_counts(seeds: np.ndarray, size: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            for p in pieces(batch.column("text")):
-                h, first, _, _ = words_of(p)
-                x, _ = grams(h, first, size)
-                if len(seeds) and len(x):
-                    at = np.minimum(np.searchsorted(seeds, x), len(seeds) - 1)
-                    total += np.bincount(at[seeds[at] == x], minlength=len(seeds))
-        hit = np.flatnonzero(total)
-        yield pa.record_batch({"seed": hit.astype(np.int64), "n": total[hit]})
-
-    return rows
-
-
 class Finder:
-    """Items of one block with their seeds; finds (row, item id, score, first word, end word, seeds met) in a text column."""
+    """Items of one block with their n-grams; finds (row, item id, score, first word, end word, n-grams met) in a text column.
+
+    Every n-gram of an item is a seed. An item is aligned only where it has enough of its words: a score is at most MATCH
+    for each, so what is passed over cannot reach the threshold.
+    """
 
-    def __init__(self, items: list[np.ndarray], ids: list, seeds: dict[int, list], size: int, threshold: float):
-        self.items, self.ids, self.size, self.threshold = items, ids, size, threshold
-        self.seeds = np.array(sorted(seeds), np.uint64)
-        self.owners = [seeds[s] for s in self.seeds.tolist()]
+    def __init__(self, items: list[np.ndarray], ids: list, size: int, threshold: float):
+        self.ids, self.size, self.threshold = ids, size, threshold
+        self.start = np.cumsum([0, *[len(h) for h in items]])
+        self.words = np.concatenate([np.zeros(0, np.uint64), *items])
+        self.known, self.number = np.unique(self.words, return_inverse=True)
+        length = np.diff(self.start)
+        # gaps of an alignment that reaches the threshold, so how far it strays from the diagonal of any n-gram in it
+        self.margin = np.ceil(MATCH * length * (1 - threshold)).astype(np.int64)
+        x, at = grams(self.words, self.start, size)
+        item = np.searchsorted(self.start, at, "right") - 1
+        order = np.lexsort((at, item, x))
+        x, item, offset = x[order], item[order], (at - self.start[item])[order]
+        first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (item[1:] != item[:-1]))[: len(x)])
+        # an n-gram that an item repeats is one entry, from its first to its last place
+        self.item, self.low, self.high = item[first], offset[first], offset[np.append(first[1:], len(x)) - 1] if len(x) else offset
+        self.seeds, begin = np.unique(x[first], return_index=True)
+        self.begin = np.append(begin, len(first))
 
     def find(self, column) -> Iterator[tuple[int, int, float, int, int, int]]:
+        present = np.zeros(len(self.known), bool)
         for p in pieces(column):
             h, first, _, _ = words_of(p)
             x, place = grams(h, first, self.size)
@@ -117,28 +116,48 @@ class Finder:
                 continue
             at = np.minimum(np.searchsorted(self.seeds, x), len(self.seeds) - 1)
             hit = np.flatnonzero(self.seeds[at] == x)
-            piece = np.searchsorted(first, place[hit], "right") - 1
-            found: dict = defaultdict(list)
-            for i, w, s in zip(piece.tolist(), place[hit].tolist(), at[hit].tolist(), strict=True):
-                for item, offset in self.owners[s]:
-                    found[i, item].append(w - offset)
-            for (i, item), starts in found.items():
-                words, lo, hi = self.items[item], int(first[i]), int(first[i + 1])
-                margin = len(words) // 2 + 4
-                spans: list = []
-                for s in sorted(starts):  # where the item would lie, with room for edits; near ones together
-                    a, b = max(lo, s - margin), min(hi, s + len(words) + margin)
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(b, spans[-1][1])
-                    else:
-                        spans.append([a, b])
-                best = (0, 0, 0)
-                for a, b in spans:
-                    score, x0, x1 = align(words, h[a:b])
+            if not len(hit):
+                continue
+            found, where = at[hit], place[hit]
+            texts, cuts = np.unique(np.searchsorted(first, where, "right") - 1, return_index=True)
+            for i, c, d in zip(texts.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(hit)], strict=True):
+                lo, hi = int(first[i]), int(first[i + 1])
+                for item, share, a, b, n in self._in_text(h[lo:hi], found[c:d], where[c:d] - lo, present):
+                    yield int(p.row[i]), self.ids[item], share, a, b, n
+
+    def _in_text(self, text: np.ndarray, found: np.ndarray, where: np.ndarray, present: np.ndarray):
+        n = self.begin[found + 1] - self.begin[found]
+        entry = np.repeat(self.begin[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, place = self.item[entry], np.repeat(where, n)
+        length = self.start[item + 1] - self.start[item]
+        # where the item would lie, with room for edits
+        begin = np.maximum(0, place - self.high[entry] - self.margin[item])
+        end = np.minimum(len(text), place - self.low[entry] + length + self.margin[item])
+        order = np.lexsort((begin, item))
+        item, begin, end = item[order], begin[order], end[order]
+        numbers = np.minimum(np.searchsorted(self.known, text), len(self.known) - 1)
+        numbers = np.where(self.known[numbers] == text, numbers, -1)
+        held, cuts = np.unique(item, return_index=True)
+        for i, c, d in zip(held.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(item)], strict=True):
+            own = self.number[self.start[i] : self.start[i + 1]]
+            spans: list = []
+            for a, b in zip(begin[c:d].tolist(), end[c:d].tolist(), strict=True):  # near ones together
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(b, spans[-1][1])
+                else:
+                    spans.append([a, b])
+            best = (0, 0, 0)
+            for a, b in spans:
+                seen = numbers[a:b][numbers[a:b] >= 0]
+                present[seen] = True
+                enough = present[own].sum() / len(own) >= self.threshold
+                present[seen] = False
+                if enough:
+                    score, x0, x1 = align(self.words[self.start[i] : self.start[i + 1]], text[a:b])
                     best = max(best, (score, a + x0, a + x1))
-                share = best[0] / (MATCH * len(words))
-                if share >= self.threshold:
-                    yield int(p.row[i]), self.ids[item], share, best[1] - lo, best[2] - lo, len(starts)
+            share = best[0] / (MATCH * len(own))
+            if share >= self.threshold:
+                yield i, share, best[1], best[2], d - c
 
 
 def _leak_rows(finder: Finder, columns: tuple[str, ...]):
@@ -176,51 +195,33 @@ def blocks(benchmark: DataFrame, item: str, text: str, size: int = BLOCK_BYTES)
         yield held
 
 
-def finders(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, gram: int, seeds: int,
-            threshold: float) -> Iterator[Finder]:
-    """One finder per block of items; each counts the block's n-grams in all of ``docs`` to choose the rarest."""
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+def finders(benchmark: DataFrame, item: str, item_text: str, gram: int, threshold: float) -> Iterator[Finder]:
+    """One finder per block of items."""
     for block in blocks(benchmark, item, item_text):
-        items = _item_words([r["text"] for r in block])
-        places: dict[int, list] = defaultdict(list)
-        for i, h in enumerate(items):
-            x, at = grams(h, np.array([0, len(h)]), gram)
-            for s, a in zip(x.tolist(), at.tolist(), strict=True):
-                places[s].append((i, a))
-        known = np.array(sorted(places), np.uint64)
-        counted = rows.mapInArrow(_seed_counts(known, gram), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        often = {int(known[r["seed"]]): r["n"] for r in counted.collect()}  # at most one row per n-gram of the block
-        own: dict[int, list] = defaultdict(list)
-        for s, where in places.items():
-            for i, a in where:
-                own[i].append((often.get(s, 0), a, s))
-        kept: dict[int, list] = defaultdict(list)
-        for i, found in own.items():
-            for _, a, s in sorted(found)[:seeds]:
-                kept[s].append((i, a))
-        yield Finder(items, [r["id"] for r in block], dict(kept), gram, threshold)
+        yield Finder(_item_words([r["text"] for r in block]), [r["id"] for r in block], gram, threshold)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc: tuple[str, ...] = ("doc_id",), text: str = "text", item: str = "item_id",
-          item_text: str = "text", gram: int = GRAM, seeds: int = SEEDS, threshold: float = THRESHOLD) -> DataFrame:
+          item_text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
     """(document, item) pairs whose best local alignment reaches ``threshold`` of the item's perfect score.
 
-    Columns: ``doc``, item_id, score, first_word, end_word (the aligned span of the text's words) and n_seeds. Items shorter
-    than an n-gram and null or empty texts match nothing. Two passes over the corpus per block of items, no shuffle of texts.
+    Columns: ``doc``, item_id, score, first_word, end_word (the aligned span of the text's words) and n_seeds, the places
+    of the text where an n-gram of the item lies. Items shorter than an n-gram and null or empty texts match nothing. One
+    pass over the corpus per block of items, no shuffle of texts.
     """
     rows = docs.select(*doc, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumnRenamed("__text", "text")
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     kinds += "item_id long, score double, first_word long, end_word long, n_seeds long"
     result = docs.sparkSession.createDataFrame([], kinds)
-    for finder in finders(docs, benchmark, text, item, item_text, gram, seeds, threshold):
+    for finder in finders(benchmark, item, item_text, gram, threshold):
         result = result.unionByName(rows.mapInArrow(_leak_rows(finder, doc), kinds))
     return result
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = GRAM,
-          seeds: int = SEEDS, threshold: float = THRESHOLD) -> DataFrame:
+          threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs``, all columns unchanged, that hold no test item; see ``leaks``. No shuffle takes place."""
     out = docs
-    for finder in finders(docs, benchmark, text, item, item_text, gram, seeds, threshold):
+    for finder in finders(benchmark, item, item_text, gram, threshold):
         out = out.mapInArrow(_clean_rows(finder, text), docs.schema)
     return out

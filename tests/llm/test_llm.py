@@ -238,6 +238,29 @@ def test_decontamination(spark):
     assert decontam.clean(docs, bench.limit(0)).count() == 6 and decontam.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_edited_copies(spark):
+    """Copies with many edits, whose unmatched n-grams are rarer than the ones that survive, and one with a long insertion."""
+    rnd = random.Random(17)
+    items, cases = [], []
+    for size, edits in [(80, 0.2), (150, 0.1), (200, 0.15)] * 8:
+        items.append([f"w{rnd.randrange(10**6)}" for _ in range(size)])
+        copy = [f"x{rnd.randrange(10**6)}" if rnd.random() < edits else w for w in items[-1]]
+        cases.append([f"y{i}" for i in range(50)] + copy + [f"z{i}" for i in range(50)])
+    items.append([f"v{i}" for i in range(40)])
+    cases.append([*items[-1][:20], *[f"x{i}" for i in range(30)], *items[-1][20:]])
+    number = {w: k for k, w in enumerate({w for x in [*items, *cases] for w in x})}
+    code = lambda words: np.array([number[w] for w in words])
+    want = {}
+    for d, i in itertools.product(range(len(cases)), range(len(items))):
+        score, first, end = decontam.align(code(items[i]), code(cases[d]))
+        if score >= len(items[i]):
+            want[d, i] = (score / (2 * len(items[i])), first, end)
+    assert len(want) >= 20 and want[24, 24] == (50 / 80, 0, 70)
+    rows = lambda x, name: spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(x)], f"{name} long, text string")
+    found = decontam.leaks(rows(cases, "doc_id"), rows(items, "item_id"))
+    assert {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in found.collect()} == want
+
+
 def test_alignment():
     rnd = np.random.default_rng(4)
     for _ in range(40):
