@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spikelens.functions.dist import attach
+
 from .common import pin, settle
 
 # Host and start of the path, with verdicts.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-MAX_RULES = 2_000
 #: Bound of the labelled urls the rules are mined from: the ones with the smallest hash of their own text.
 SAMPLE_ROWS = 50_000
 VERDICT = "verdict="
@@ -56,21 +57,23 @@ def tokens(url: str = "url") -> Column:
 
 
 def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Rules (items, verdict, confidence, support, n, key) from rows with ``items`` and ``verdict``."""
+    """Rules (items, verdict, confidence, support) from rows with ``items`` and ``verdict``."""
     rows_ = (labelled.select(F.array_sort(F.array_union("items", F.array(F.concat(F.lit(VERDICT), F.col("verdict"))))).alias("items"))
              .orderBy(F.xxhash64("items"), F.array_join("items", " ")).limit(rows))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=8).fit(settle(rows_))
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(VERDICT))).where(F.size("antecedent") <= 4)
     found = found.where(~F.exists("antecedent", lambda x: x.startswith(VERDICT)))
-    found = settle(found.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], len(VERDICT) + 1, 99).alias("verdict"),
-                                "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), F.size("items"), F.array_join("items", " "))
-                   .limit(MAX_RULES))
-    # a rule goes when a shorter part of it says the same at least as surely
-    a, b = found.alias("a"), found.select("items", "verdict", "confidence").alias("b")
-    weaker = (F.col("a.verdict") == F.col("b.verdict")) & (F.size("b.items") < F.size("a.items")) & (
-        F.col("b.confidence") >= F.col("a.confidence")) & (F.size(F.array_except("b.items", "a.items")) == 0)
-    kept = a.join(F.broadcast(b), weaker, "left_anti")  # both sides hold at most MAX_RULES rows
-    return kept
+    return without_redundant(settle(found.select(
+        F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], len(VERDICT) + 1, 99).alias("verdict"), "confidence", "support")))
+
+
+def without_redundant(found: DataFrame) -> DataFrame:
+    """Rules of which no shorter part says the same at least as surely. Each rule asks for its own parts, by name."""
+    parts = F.expr("transform(sequence(1, shiftleft(1, size(items)) - 2), n -> filter(items, (x, i) -> getbit(n, i) = 1))")
+    parts = found.where(F.size("items") > 1).withColumn("part", F.explode(parts))  # every choice of items but none and all
+    sure = found.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("least"))
+    weaker = attach(parts, sure, ["part", "verdict"], spread=["items"]).where("least >= confidence").select("items", "verdict").distinct()
+    return found.join(weaker, ["items", "verdict"], "left_anti")
 
 
 def judge(pages: DataFrame, page: str = "page_id", url: str = "url", rules=RULES, support: float = 0.01, confidence: float = 0.8,
@@ -84,16 +87,14 @@ def judge(pages: DataFrame, page: str = "page_id", url: str = "url", rules=RULES
     rows = with_parts(pages.select(F.col(page).alias("page"), F.col(url).alias("url")))
     rows = pin(rows.withColumns({"rule": rule, "given": verdict, "items": tokens("url")}))
     mined = settle(mine(rows.where("given is not null").select("items", F.col("given").alias("verdict")), support, confidence))
-    rare = mined.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()  # <= 4 * MAX_RULES
-    weight = {r["token"]: r["n"] for r in rare}
-    index: dict[str, list] = {}
-    for r in mined.collect():  # at most MAX_RULES rows
-        index.setdefault(min(r["items"], key=lambda t: (weight[t], t)), []).append((r["items"], r["confidence"], r["support"], r["verdict"]))
-    lookup = pages.sparkSession.createDataFrame(list(index.items()) or [("", [])],
-                                                "token string, rules array<struct<items: array<string>, confidence: double, support: double, verdict: string>>")
+    # each rule under the token that the fewest rules hold
+    each = mined.withColumn("token", F.explode("items"))
+    rare = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    lookup = (attach(each, settle(rare), ["token"], spread=["items"]).groupBy("items", "verdict", "confidence", "support").agg(F.min(F.struct("n", "token")).alias("least"))
+              .select(F.col("least.token").alias("token"), F.struct("items", "confidence", "support", "verdict").alias("r")))
     # one row per distinct token set: urls repeat their tokens much more often than their numbers
     kinds = rows.where("given is null").select("items").distinct().withColumn("kind", F.array_join("items", " "))
-    held = kinds.withColumn("token", F.explode("items")).join(F.broadcast(lookup), "token").withColumn("r", F.explode("rules"))
+    held = attach(kinds.withColumn("token", F.explode("items")), settle(lookup), ["token"], spread=["kind"])
     held = held.where(F.size(F.array_except("r.items", "items")) == 0)
     best = held.groupBy("kind").agg(F.max(F.struct(F.col("r.confidence").alias("confidence"), F.col("r.support").alias("support"),
                                                    F.col("r.verdict").alias("verdict"))).alias("best"))

@@ -122,6 +122,25 @@ def test_urls(spark):
     assert url_rules.judge(rows.limit(0)).count() == 0
 
 
+def test_all_rules_are_mined(spark):
+    """Thousands of sure but redundant rules leave room for a short one that is less sure."""
+    rows = [*[([f"{g}{i}" for i in range(14)], "block") for g in "ab" for _ in range(50)], *[(["x"], "block")] * 8, (["x"], "allow"),
+            *[(["x", "z"], "block")] * 5, *[(["z"], "allow")] * 5, *[(["a1", "b1"], "allow")] * 3]
+    held, total = collections.Counter(), collections.Counter()
+    for items, verdict in rows:
+        for k in range(1, 5):
+            for part in itertools.combinations(sorted(items), k):
+                held[part, verdict] += 1
+                total[part] += 1
+    sure = {r: n / total[r[0]] for r, n in held.items() if n >= 0.01 * len(rows) and n / total[r[0]] >= 0.8}
+    weaker = lambda items, verdict, c: any(
+        sure.get((p, verdict), 0) >= c for k in range(1, len(items)) for p in itertools.combinations(items, k))
+    want = {r: c for r, c in sure.items() if not weaker(*r, c)}
+    assert len(sure) > 2000 and (("x",), "block") in want and (("x", "z"), "block") in want
+    got = url_rules.mine(spark.createDataFrame(rows, "items array<string>, verdict string")).collect()
+    assert len(got) == len(want) and {(tuple(r["items"]), r["verdict"]): r["confidence"] for r in got} == pytest.approx(want)
+
+
 def test_ring(spark, docs):
     rows = docs.unionByName(spark.createDataFrame([(None, "x"), (None, "x"), (None, None)], SCHEMA))
     got = ring.shard_rows(rows).collect()
