@@ -12,12 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spikelens.functions.dist import attach
 
-from .common import pin, settle
+from .common import pin, settle, stored
 
 # Host and start of the path, with verdicts.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Bound of the labelled urls the rules are mined from: the ones with the smallest hash of their own text.
-SAMPLE_ROWS = 50_000
 VERDICT = "verdict="
 
 
@@ -56,11 +54,10 @@ def tokens(url: str = "url") -> Column:
     return F.filter(F.array_distinct(F.concat(ends, part, word, keys)), lambda x: ~x.endswith(":"))
 
 
-def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Rules (items, verdict, confidence, support) from rows with ``items`` and ``verdict``."""
-    rows_ = (labelled.select(F.array_sort(F.array_union("items", F.array(F.concat(F.lit(VERDICT), F.col("verdict"))))).alias("items"))
-             .orderBy(F.xxhash64("items"), F.array_join("items", " ")).limit(rows))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=8).fit(settle(rows_))
+def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.8) -> DataFrame:
+    """Rules (items, verdict, confidence, support) from all rows with ``items`` and ``verdict``."""
+    rows = labelled.select(F.array_union("items", F.array(F.concat(F.lit(VERDICT), F.col("verdict")))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(stored(rows))
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(VERDICT))).where(F.size("antecedent") <= 4)
     found = found.where(~F.exists("antecedent", lambda x: x.startswith(VERDICT)))
     return without_redundant(settle(found.select(

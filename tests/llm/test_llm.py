@@ -141,6 +141,15 @@ def test_all_rules_are_mined(spark):
     assert len(got) == len(want) and {(tuple(r["items"]), r["verdict"]): r["confidence"] for r in got} == pytest.approx(want)
 
 
+def test_rules_are_mined_from_all_rows(spark):
+    """One token set holds a third of many rows, the others a few per cent each: shares are those of the whole table."""
+    few = spark.range(40_000).selectExpr("array(concat('t', id % 20), concat('n', id)) as items", "if(id % 20 < 10, 'block', 'allow') as verdict")
+    hot = spark.range(20_000).selectExpr("array('hot') as items", "'allow' as verdict")
+    got = {tuple(r["items"]): (r.verdict, r.confidence, r.support) for r in url_rules.mine(few.unionByName(hot)).collect()}
+    assert got == {("hot",): ("allow", 1, pytest.approx(1 / 3)),
+                   **{(f"t{i}",): ("block" if i < 10 else "allow", 1, pytest.approx(1 / 30)) for i in range(20)}}
+
+
 def test_ring(spark, docs):
     rows = docs.unionByName(spark.createDataFrame([(None, "x"), (None, "x"), (None, None)], SCHEMA))
     got = ring.shard_rows(rows).collect()
