@@ -109,3 +109,14 @@ def op5_url_association_rules(spark, sf_dir):
     from .url_rules import judge
 
     return judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    """Tokens of two tokenizers aligned in every document, with how common its linked pairs are."""
+    import public_tokenizers
+
+    from .token_align import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                 public_tokenizers.path("piece_bpe_32k.model"))
