@@ -120,3 +120,32 @@ def op12_token_alignment(spark, sf_dir):
 
     return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_tree_search(spark, sf_dir):
+    """The ten best documents of each benchmark item."""
+    from .tree_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE["op11_tree_search"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+    b AS (SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(words))::BIGINT AS n_words FROM d WHERE len(words) > 0),
+    t AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY r, term),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+        FROM t, total GROUP BY term),
+    scored AS (SELECT b.q, b.item_id, t.r, d.doc_id, sum(w.weight * ((1000000000 * t.tf) //
+            (1000 * t.tf + 8 * (100 - 75 + (75 * len(d.words) * total.n_docs) // total.n_words))))::BIGINT AS score
+        FROM b JOIN t ON b.term = t.term JOIN w ON w.term = t.term JOIN d ON d.r = t.r, total
+        GROUP BY b.q, b.item_id, t.r, d.doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank
+        FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

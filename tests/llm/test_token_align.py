@@ -1,6 +1,7 @@
 """Cross-tokenizer alignment against a walk over both whole token sequences."""
 
 import hashlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -43,10 +44,12 @@ def expected(texts):
                 at += len(x)
             spans.append(out)
         ends = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
-        groups, at = [], 0
-        for end in ends:
-            groups.append("|".join(",".join(str(i) for i, s, e in side if at < e <= end) for side in spans))
-            at = end
+        cuts = [[bisect_left(ends, e) for _, _, e in side] for side in spans]
+        groups = [[[], []] for _ in ends]
+        for k, side in enumerate(spans):
+            for (i, _, _), g in zip(side, cuts[k], strict=True):
+                groups[g][k].append(str(i))
+        groups = ["|".join(map(",".join, g)) for g in groups]
         links, j = [], 0
         for i, s, e in spans[0]:
             while spans[1][j][2] <= s:
