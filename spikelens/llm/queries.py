@@ -149,3 +149,15 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
         FROM scored WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op13_byte_cnn(spark, sf_dir):
+    """Quality scores of all documents, learnt from the labels of three quarters of the labelled ones."""
+    from .byte_cnn import fit, fold, score
+
+    docs = table(spark, sf_dir, "documents")
+    net = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, net).select(
+        "doc_id", F.coalesce(fold("doc_id") == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
