@@ -65,8 +65,10 @@ def chunk_starts(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _laid(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Chunks as rows of byte values, ``PAD`` beyond the end of the text."""
     at = start[:, None] + np.arange(CHUNK)
+    rows = np.full(at.shape, PAD, np.int16)
     inside = at < end[:, None]
-    return np.where(inside, data[np.minimum(at, max(0, len(data) - 1))] if len(data) else PAD, PAD).astype(np.int16)
+    rows[inside] = data[at[inside]]
+    return rows
 
 
 def _repeated(rows: np.ndarray) -> np.ndarray:
