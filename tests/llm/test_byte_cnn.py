@@ -91,7 +91,7 @@ def test_awkward_rows(spark):
     net = network()
     got = sorted(((r.doc_id or 0), r.score) for r in score(docs, net).collect())
     assert [d for d, _ in got] == [0, 1, 1, 2, 3, 3] and all(0 <= s <= 1 for _, s in got)
-    assert got[0][1] == got[1][1] == got[2][1] and got[4] == got[5]
+    assert np.allclose([s for _, s in got[:3]], got[0][1], atol=1e-6) and np.isclose(got[4][1], got[5][1], atol=1e-6)
     assert score(docs.limit(0), net).collect() == []
     none = fit(docs.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, quality int"))
     assert len(none.arrays()) == 7
