@@ -360,23 +360,66 @@ def _(spark, sf):
     return M.class_weights(training(spark, sf))
 
 
-@query("ml3_logistic_fit")
+_N = len(C.FEATURES)
+add("scaler", ["training"], "select " + ", ".join(
+    f"avg({f}) as m{i}, greatest(stddev_pop({f}), 1e-9) as s{i}" for i, f in enumerate(C.FEATURES)) + " from training")
+add("scaled", ["training", "scaler"], f"""select anchor_id, event_id, label, x, least(((row_number() over (
+    order by md5('fold:' || anchor_id || ':' || event_id), anchor_id, event_id) - 1) // (n // k)), k - 1)::int as fold, n, k
+    from (select anchor_id, event_id, label, [{', '.join(f'({f} - m{i}) / s{i}' for i, f in enumerate(C.FEATURES))}] as x,
+    count(*) over () as n, least(5, greatest(2, count(*) over () // 5)) as k from training, scaler)""")
+# one model per fold, which does not see it, and one (fold k) that sees all; materialized, as the steps read it often
+add("seen", ["scaled"], """select m.m, s.x, s.label, s.label::double as y, count(*) over (partition by m.m) as n,
+    count(*) over (partition by m.m) / (2e0 * count(*) over (partition by m.m, s.label)) as share
+    from scaled s, (select unnest(range(max(k) + 1))::int as m from scaled) m where s.fold <> m.m""")
+#: Plain gradient steps from zero; the library takes Newton steps to the same optimum.
+_STEPS, _RATE = 700, "0.4e0"
+add("fitted", ["seen"], f"""select * from (with recursive steps(i, m, w, b) as (
+    select 0, m, [{', '.join(['0e0'] * _N)}], 0e0 from (select distinct m from seen)
+    union all
+    select i + 1, m, [{', '.join(f'any_value(w[{j}]) - {_RATE} * (sum(e * x[{j}]) / any_value(n) + any_value(w[{j}]))'
+                                 for j in range(1, _N + 1))}], any_value(b) - {_RATE} * (sum(e) / any_value(n))
+    from (select i, steps.m, w, b, x, n, share * (1e0 / (1e0 + exp(-(list_dot_product(x, w) + b))) - y) as e
+        from steps join seen on seen.m = steps.m where i < {_STEPS}) group by i, m)
+    select m, w, b from steps where i = {_STEPS})""")
+add("model", ["fitted", "scaled"], "select w, b from fitted where m = (select max(k) from scaled)")
+add("judged_folds", ["fitted", "scaled"], """select fold, count(*) filter (label = 1 and said) as tp,
+    count(*) filter (label = 0 and said) as fp, count(*) filter (label = 1 and not said) as fn from (select s.fold, s.label,
+    list_dot_product(s.x, f.w) + f.b >= 0 as said from scaled s join fitted f on f.m = s.fold) group by 1""")
+add("fold_f1", ["judged_folds"], """select *, 2 * p * r / greatest(p + r, 1e-9) as f1 from (select *, tp / greatest(tp + fp, 1) as p,
+    tp / greatest(tp + fn, 1) as r from judged_folds)""")
+_MODEL_TABLE = " union all ".join(
+    f"select {i} as i, '{f}' as feature, m{i} as mean, s{i} as std, w[{i + 1}] as coef from model, scaler"
+    for i, f in enumerate(C.FEATURES)) + f" union all select {_N}, 'intercept', 0e0, 1e0, b from model"
+
+
+@query("ml3_logistic_fit", with_ctes(_MODEL_TABLE, "model", "scaler"), floats="mean std coef", places=3)
 def _(spark, sf):
     """Model table: scaling and coefficient of every feature, and the intercept."""
     return M.train(training(spark, sf))[0]
 
 
-@query("ml4_cross_validation")
+@query("ml4_cross_validation", with_ctes("select fold, tp, fp, fn, f1 from fold_f1", "fold_f1"), floats="f1")
 def _(spark, sf):
     return M.train(training(spark, sf))[1]
 
 
-@query("ml5_importance")
+@query("ml4_summary", with_ctes(f"""select count(*) as n_folds, {rnd('avg(f1)', 3)} as cv_f1_mean,
+    {rnd('stddev_pop(f1)', 3)} as cv_f1_std, (select count(*) from training) as n_samples,
+    (select count(*) from training where label = 1) as n_positive, (select count(*) from training where label = 0) as n_negative
+    from fold_f1""", "fold_f1", "training"))
+def _(spark, sf):
+    """Mean and deviation of the folds' F1, and the sample counts."""
+    pairs = training(spark, sf)
+    return M.validation_summary(M.train(pairs)[1], pairs)
+
+
+@query("ml5_importance", with_ctes(" union all ".join(
+    f"select '{f}' as feature, w[{i + 1}] as coef from model" for i, f in enumerate(C.FEATURES)), "model"), floats="coef", places=3)
 def _(spark, sf):
     return M.importance(M.train(training(spark, sf))[0])
 
 
-@query("ml7_stored_model")
+@query("ml7_stored_model", with_ctes(_MODEL_TABLE, "model", "scaler"), floats="mean std coef", places=3)
 def _(spark, sf):
     """Labels to stored model and back."""
     path = scratch(spark)
@@ -384,7 +427,14 @@ def _(spark, sf):
     return M.load_model(spark, path)
 
 
-@query("chn3_model_chains")
+_LOGIT = " + ".join(f"({f} - m{i}) / s{i} * w[{i + 1}]" for i, f in enumerate(C.FEATURES))
+adopt({k: (needs, text) for k, (needs, text) in chain_ctes("ml", "owners", 5).items() if k != "ml_scored"})
+add("ml_scored", ["ml_pairs", "model", "scaler"], f"""select *, {rnd(f'1e0 / (1e0 + exp(-(b + {_LOGIT})))', 4)} as chain_score,
+    case when event_date < a_event_date then 'before' when event_date > a_event_date then 'after' else 'same' end as pool
+    from ml_pairs, model, scaler""")
+
+
+@query("chn3_model_chains", with_ctes("select anchor_id, event_id, side, position, chain_score from ml_chain", "ml_chain"))
 def _(spark, sf):
     """Chains of the spike anchors ranked by the trained model."""
     ev, _, made = silver(spark, sf)

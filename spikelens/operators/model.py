@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import config as C
+from ..functions import exprs as X
 from ..functions.dist import attach, settle, top_k
 from .aggregate import hash_order
 from .chains import candidate_pairs, with_features
 
 MIN_PAIRS = 10
 ROWS_PER_PARTITION = 50_000
+# Newton steps at most; a handful suffices where both labels occur.
+MAX_STEPS = 30
+# Leading hash digits that cut the order into ranges.
+RANGE_DIGITS = 3
 
 
 def labelled_pool(events: DataFrame, anchors: DataFrame, relevant: DataFrame, window_days: int = 7) -> DataFrame:
@@ -68,44 +74,107 @@ def _scaled(pairs: DataFrame, scaler_rows) -> DataFrame:
         *[((F.col(r.feature) - r.mean) / r.std).alias(r.feature) for r in scaler_rows])
 
 
-def _fit(scaled: DataFrame, c: float) -> LogisticRegressionModel:
-    """Balanced, L2-penalised fit. The penalty is on the mean loss, hence 1/C."""
-    weight = {r.label: r.weight for r in class_weights(scaled).collect()}  # two rows
-    weighted = scaled.withColumn("weight", F.when(F.col("label") == 1, weight.get(1)).otherwise(weight.get(0)))
-    data = VectorAssembler(inputCols=list(C.FEATURES), outputCol="x").transform(weighted)
-    return LogisticRegression(
-        featuresCol="x", labelCol="label", weightCol="weight", standardization=False, elasticNetParam=0.0,
-        regParam=1.0 / c, maxIter=1000, tol=1e-7,
-    ).fit(data)
-
-
-def cross_validate(scaled: DataFrame, folds: int, c: float = 1.0) -> DataFrame:
-    """F1 of each fold; folds are drawn by hash of the pair."""
-    marked = scaled.withColumn("fold", F.pmod(F.xxhash64("anchor_id", "event_id"), F.lit(folds)).cast("int"))
-    assembler = VectorAssembler(inputCols=list(C.FEATURES), outputCol="x")
-    parts = []
-    sizes = marked.groupBy("fold", "label").count().collect()  # at most two rows per fold
-    for fold in range(folds):  # two to five fits
-        train = marked.where(F.col("fold") != fold)
-        held = marked.where(F.col("fold") == fold)
-        if len({r.label for r in sizes if r.fold != fold}) < 2:
-            continue
-        model = _fit(train, c)
-        probability = vector_to_array("probability")[1]
-        parts.append(model.transform(assembler.transform(held)).select(
-            "fold", "label", (probability >= 0.5).cast("int").alias("predicted")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    one = F.lit(1)
-    tp = F.count_if((F.col("label") == 1) & (F.col("predicted") == 1))
-    fp = F.count_if((F.col("label") == 0) & (F.col("predicted") == 1))
-    fn = F.count_if((F.col("label") == 1) & (F.col("predicted") == 0))
+def exact_rank(df: DataFrame, hashed: Column, order: Sequence[str], name: str = "place") -> DataFrame:
+    """Place of every row, from 0, in the order of a hex hash and then ``order``, without a global sort.
+
+    Rows are numbered within the ranges that the first ``RANGE_DIGITS`` digits cut out; sizes of the ranges are summed up
+    from the left (a table of at most 16**RANGE_DIGITS rows) and say how many rows lie before each range.
+    """
+    marked = df.withColumn("_hash", hashed).withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS))
+    sizes = marked.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", *order))
+    return marked.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn(
+        name, F.col("_before") + F.col("_inside") - 1).drop("_hash", "_range", "_inside", "_before")
+
+
+def fold_count(n: int) -> int:
+    return min(5, max(2, n // 5))
+
+
+def folds(pairs: DataFrame, n: int, k: int) -> DataFrame:
+    """``fold`` of every pair: equal runs of a seeded order, the last one takes what is left over."""
+    ranked = exact_rank(pairs, hash_order("anchor_id", "event_id", seed="fold"), ["anchor_id", "event_id"])
+    return ranked.withColumn("fold", F.least(F.floor(F.col("place") / (n // k)), F.lit(k - 1)).cast("int")).drop("place")
+
+
+def _sums(weights: dict[int, np.ndarray], balance: dict[int, tuple[float, float]]):
+    """Per task: gradient and curvature sums of every model over the rows outside its own fold."""
+    size = len(C.FEATURES) + 1
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {m: np.zeros((size, size + 1)) for m in weights}
+        for batch in batches:
+            x = np.column_stack([batch[list(C.FEATURES)].to_numpy(float), np.ones(len(batch))])
+            y, fold = batch["label"].to_numpy(float), batch["fold"].to_numpy()
+            for m, w in weights.items():
+                p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -700, 700)))
+                share = np.where(y == 1, *balance[m]) * (fold != m)
+                total[m][:, 0] += x.T @ (share * (p - y))
+                total[m][:, 1:] += (x * (share * p * (1 - p))[:, None]).T @ x
+        yield pd.DataFrame([(m, i, v) for m, t in total.items() for i, v in enumerate(t.ravel())], columns=["model", "i", "v"])
+
+    return rows
+
+
+def fit_models(scaled: DataFrame, models: Sequence[int], c: float = 1.0) -> dict[int, np.ndarray]:
+    """Coefficients and intercept (last) of balanced, L2-penalised logistic models, one for each of ``models``.
+
+    Model m learns from all rows whose ``fold`` is not m. The loss is the mean of the weighted losses plus
+    |coefficients|^2 / 2C, which has one optimum; Newton steps run to it. A step is one job: sums per task and model, added
+    up by Spark, over settled rows; the driver solves one small system per model.
+    """
+    size = len(C.FEATURES) + 1
+    counts = {(r.fold, r.label): r.n for r in scaled.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights, balance, number = {m: np.zeros(size) for m in models}, {}, {}
+    for m in models:
+        positive, negative = (sum(n for (f, y), n in counts.items() if f != m and y == label) for label in (1, 0))
+        number[m] = positive + negative
+        balance[m] = (number[m] / (2 * max(positive, 1)), number[m] / (2 * max(negative, 1)))
+    penalty = np.append(np.full(size - 1, 1 / c), 0.0)
+    moving = list(models)
+    for _ in range(MAX_STEPS):
+        got = scaled.select("label", "fold", *C.FEATURES).mapInPandas(
+            _sums({m: weights[m] for m in moving}, balance), "model int, i int, v double").groupBy("model", "i").agg(F.sum("v").alias("v"))
+        sums = {m: np.zeros(size * (size + 1)) for m in moving}
+        for r in got.collect():  # a few hundred numbers per model
+            sums[r.model][r.i] = r.v
+        for m in list(moving):
+            table = sums[m].reshape(size, size + 1) / number[m]
+            # a sliver of curvature keeps the step finite where one class is absent and the intercept has no optimum
+            step = np.linalg.solve(table[:, 1:] + np.diag(penalty) + 1e-9 * np.eye(size), table[:, 0] + penalty * weights[m])
+            weights[m] = weights[m] - np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-10:
+                moving.remove(m)
+        if not moving:
+            break
+    return weights
+
+
+def fold_scores(scaled: DataFrame, models: dict[int, np.ndarray], k: int) -> DataFrame:
+    """Counts and F1 of each of ``k`` folds, judged by the model that has not seen it."""
+    logit = F.lit(None).cast("double")
+    for m in range(k):
+        total = F.lit(float(models[m][-1]))
+        for f, w in zip(C.FEATURES, models[m], strict=False):
+            total = total + F.col(f) * float(w)
+        logit = F.when(F.col("fold") == m, total).otherwise(logit)
+    one, hit, said = F.lit(1), F.col("label") == 1, F.col("predicted") == 1
     p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), one), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), one)
-    return scored.groupBy("fold").agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn")).withColumn(
+    return scaled.select("fold", "label", (logit >= 0).cast("int").alias("predicted")).groupBy("fold").agg(
+        F.count_if(hit & said).alias("tp"), F.count_if(~hit & said).alias("fp"), F.count_if(hit & ~said).alias("fn")).withColumn(
         "f1", 2 * p * r / F.greatest(p + r, F.lit(1e-9)))
 
 
+def validation_summary(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: mean and deviation of the folds' F1, and how many pairs of which label there are."""
+    sizes = pairs.agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(F.col("label") == 1).alias("n_positive"),
+                      F.count_if(F.col("label") == 0).alias("n_negative"))
+    return scores.agg(F.count(F.lit(1)).alias("n_folds"), X.np_round(F.avg("f1"), 3).alias("cv_f1_mean"),
+                      X.np_round(F.stddev_pop("f1"), 3).alias("cv_f1_std")).crossJoin(F.broadcast(sizes))
+
+
 def train(pairs: DataFrame, c: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Model table ``(i, feature, mean, std, coef)`` with an intercept row, and CV scores per fold.
 
@@ -116,13 +185,13 @@ def train(pairs: DataFrame, c: float = 1.0) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"too few training pairs: {n}, at least {MIN_PAIRS} needed")
     spark = pairs.sparkSession
     rows = fit_scaler(pairs).orderBy("i").collect()  # 16 rows
+    k = fold_count(n)
     # a partition per so many rows: each step of the fit is a job over all of them
-    scaled = settle(_scaled(pairs, rows).coalesce(-(-n // ROWS_PER_PARTITION)))
-    folds = min(5, max(2, n // 5))
-    scores = cross_validate(scaled, folds, c)
-    model = _fit(scaled, c)
-    data = [(r.i, r.feature, float(r.mean), float(r.std), float(w)) for r, w in zip(rows, model.coefficients)]
-    data.append((len(data), "intercept", 0.0, 1.0, float(model.intercept)))
+    scaled = settle(folds(_scaled(pairs, rows), n, k).coalesce(-(-n // ROWS_PER_PARTITION)))
+    models = fit_models(scaled, [*range(k), k], c)  # no row has fold k: that model learns from all
+    scores = fold_scores(scaled, models, k)
+    data = [(r.i, r.feature, float(r.mean), float(r.std), float(w)) for r, w in zip(rows, models[k], strict=False)]
+    data.append((len(data), "intercept", 0.0, 1.0, float(models[k][-1])))
     table = spark.createDataFrame(data, "i int, feature string, mean double, std double, coef double")
     return table, scores
 
