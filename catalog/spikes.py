@@ -242,7 +242,8 @@ add("brief_in", ["info", "facts", "kwlist"], f"""select i.*, q1 + q2 + q3 + q4 a
     join facts f on f.day = i.day and f.country = i.country left join kwlist k on k.day = i.day and k.country = i.country""")
 
 
-@query("rpt2_briefings", with_ctes(f"""select day, country, concat_ws(' ',
+def briefing_sql(evidence: str, source: str) -> str:
+    return f"""select day, country, concat_ws(' ',
     case when z_score >= 3 then {choose(T.HIGH_Z, 'seed', **_FIELDS)} else {choose(T.MODERATE_Z, 'seed', **_FIELDS)} end,
     case when tone_delta < -0.5e0 then {choose(T.TONE_NEGATIVE, 'seed + 1', **_MOOD)}
       when tone_delta > 0.5e0 then {choose(T.TONE_POSITIVE, 'seed + 1', **_MOOD)}
@@ -251,10 +252,13 @@ add("brief_in", ["info", "facts", "kwlist"], f"""select i.*, q1 + q2 + q3 + q4 a
     case when cp >= 60 then {choose(T.MIX_CONFLICT, 'seed + 3', **_MIX)}
       when 100e0 - cp >= 60 then {choose(T.MIX_COOPERATION, 'seed + 3', **_MIX)}
       when typed > 0 then {choose(T.MIX_BOTH, 'seed + 3', **_MIX)} end,
-    {quote(T.NO_EVIDENCE[0])},
+    {evidence},
     case when tone_delta < -1 then {choose(T.WATCH_ESCALATION, 'seed + 5')}
       when tone_delta > 1 then {choose(T.WATCH_DEESCALATION, 'seed + 5')}
-      else {choose(T.WATCH_GENERIC, 'seed + 5', country='country')} end) as briefing from brief_in""", "brief_in"), dates="day")
+      else {choose(T.WATCH_GENERIC, 'seed + 5', country='country')} end) as briefing from {source}"""
+
+
+@query("rpt2_briefings", with_ctes(briefing_sql(quote(T.NO_EVIDENCE[0]), "brief_in"), "brief_in"), dates="day")
 def _(spark, sf):
     ev = events(spark, sf, url=False)
     bursts, facts = B.burst_table(ev), P.day_facts(ev)
@@ -325,16 +329,23 @@ def spike_rows(spark, sf, passages=None):
 _BASE = dict(country="country", date="cast(day as varchar)", context="context", z=fixed("z_score", 1),
              tone=signed("tone_delta", 2))
 _BULLETS = f"array_to_string(list_transform(keywords[1:10], lambda k: '  • ' || k), {quote(chr(10))})"
-_ANSWERS = f"""case intent
-    when 'spike_cause' then {fill(T.CAUSE_ANSWER, tone_word="case when tone_delta < -0.5e0 then 'negative' when tone_delta > 0.5e0 then 'positive' else 'neutral' end", keywords=QUOTED6.format(n=5), **_BASE)}
-    when 'evidence' then {quote(T.NO_PASSAGES)}
+
+
+def answers_sql(cause: str = "", evidence: str = quote(T.NO_PASSAGES), general: str = "") -> str:
+    """Answer by intent; ``cause`` and ``general`` are put behind the answers of those kinds."""
+    return f"""case intent
+    when 'spike_cause' then {fill(T.CAUSE_ANSWER, tone_word="case when tone_delta < -0.5e0 then 'negative' when tone_delta > 0.5e0 then 'positive' else 'neutral' end", keywords=QUOTED6.format(n=5), **_BASE)}{cause}
+    when 'evidence' then {evidence}
     when 'keywords' then {fill(T.KEYWORD_ANSWER, list=_BULLETS)}
     when 'event_types' then {fill(T.TYPES_ANSWER, **_BASE)}
     when 'tone' then {fill(T.TONE_ANSWER, interp='(' + TONE_TEXT + ')', **_BASE)}
     when 'actors' then {fill(T.ACTORS_ANSWER, **_BASE)}
     when 'prediction' then {fill(T.OUTLOOK_ANSWER, outlook='(' + OUTLOOK + ')', **_BASE)}
     when 'comparison' then {quote(T.COMPARISON_ANSWER)}
-    else {fill(T.GENERAL_ANSWER, context='context')} end"""
+    else {fill(T.GENERAL_ANSWER, context='context')}{general} end"""
+
+
+_ANSWERS = answers_sql()
 
 
 @query("rpt4_answers", with_ctes(f"""select question, day, country, intent, {_ANSWERS} as answer from (select q.question,

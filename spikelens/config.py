@@ -220,6 +220,7 @@ CHUNK_LOOKBACK = 120
 MIN_CHUNK_CHARS = 80
 CONTEXT_CHARS = 1200
 EVIDENCE_TOP_K = 4
+LINK_TOP_K = 6
 
 # --- question intents, first match wins ----------------------------------
 INTENT_WORDS = (

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .. import config as C
 from ..functions import exprs as X
@@ -20,6 +20,8 @@ from .keywords import tokens
 KEYS = ["day", "country"]
 MAX_QUERIES = 2_000        # queries sent to every task
 BLOCK_ROWS = 4_000         # rows per block when there are more
+DIM = 1024                 # entries of a text vector
+KNOWN_WORDS = 200_000      # words whose entry a batch remembers
 
 
 # --- sources of a spike ------------------------------------------------------
@@ -224,26 +226,65 @@ def fixed_chunks(docs: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS,
 
 # --- vectors -----------------------------------------------------------------
 
-def fit_embedder(docs: DataFrame, text: str = "text", dim: int = 1024) -> IDFModel:
-    """Inverse document frequencies of hashed words."""
-    return IDF(inputCol="tf", outputCol="tfidf").fit(_hashed(docs, text, dim))
+def word_place(word: str, dim: int) -> tuple[int, float]:
+    """Entry and sign of a word, from the digits of its md5: the same on every engine."""
+    digest = md5(word.encode(), usedforsecurity=False).digest()
+    return int.from_bytes(digest[:4], "big") % dim, 1.0 if digest[4] < 128 else -1.0
 
 
-def _hashed(docs: DataFrame, text: str, dim: int) -> DataFrame:
-    return HashingTF(inputCol="_words", outputCol="tf", numFeatures=dim).transform(
-        docs.withColumn("_words", tokens(F.col(text))))
+def _placed(words, dim: int, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Entries and signs of a list of words; ``known`` remembers them, up to a bound."""
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    out = []
+    for w in words:
+        place = known.get(w)
+        if place is None:
+            place = known[w] = word_place(w, dim)
+        out.append(place)
+    places = np.array(out, float).reshape(-1, 2)
+    return places[:, 0].astype(int), places[:, 1]
 
 
-def embed(docs: DataFrame, model: IDFModel, text: str = "text", dim: int = 1024) -> DataFrame:
-    """Add ``embedding``: a unit vector of hashed, weighted words (zeros for no words)."""
-    weighted = Normalizer(inputCol="tfidf", outputCol="unit").transform(model.transform(_hashed(docs, text, dim)))
-    return weighted.withColumn("embedding", vector_to_array("unit", "float32")).drop("_words", "tf", "tfidf", "unit")
+def fit_embedder(docs: DataFrame, text: str = "text", dim: int = DIM) -> np.ndarray:
+    """Weight of each vector entry: ln((N + 1) / (df + 1)) over documents that have a word there.
+
+    Documents are counted where they lie; what is merged are ``dim`` counts per task.
+    """
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, known = np.zeros(dim, np.int64), 0, {}
+        for batch in batches:
+            n += len(batch)
+            for words in batch["_words"]:
+                df[np.unique(_placed(words, dim, known)[0])] += 1
+        yield pd.DataFrame({"i": np.arange(-1, dim), "n": np.append(n, df)})
+
+    rows = docs.select(tokens(F.coalesce(text, F.lit(""))).alias("_words")).mapInPandas(count, "i int, n bigint")
+    total = np.zeros(dim + 1, np.int64)
+    for r in rows.groupBy("i").agg(F.sum("n").alias("n")).collect():
+        total[r.i + 1] = r.n
+    return np.log((total[0] + 1.0) / (total[1:] + 1.0))
+
+
+def embed(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
+    """Add ``embedding``: signed counts of hashed words, weighted, as a unit vector (zeros for no words)."""
+    def vectors(column: pd.Series) -> pd.Series:
+        known: dict = {}
+        out = []
+        for words in column:
+            at, sign = _placed(words, len(model), known)
+            v = np.bincount(at, weights=sign, minlength=len(model)) * model
+            norm = np.sqrt((v * v).sum())
+            out.append((v / norm if norm else v).astype(np.float32))
+        return pd.Series(out)
+
+    made = F.pandas_udf(vectors, ArrayType(FloatType()))
+    return docs.withColumn("embedding", made(tokens(F.coalesce(text, F.lit("")))))
 
 
 def embed_with(docs: DataFrame, make_predict, text: str = "text", batch_size: int = 64) -> DataFrame:
     """Hook for a real encoder: ``make_predict()`` returns a function from texts to vectors."""
     from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import ArrayType, FloatType
 
     encoder = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)
     return docs.withColumn("embedding", encoder(F.col(text)))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -178,3 +179,24 @@ def test_urls_of_a_spike(spark):
     bursts = ev.select("day", "country").distinct().withColumn("is_burst", F.lit(True))
     got = [r.source_url for r in V.spike_urls(ev, bursts, 3).orderBy("rank").collect()]
     assert got == ["http://a.com/1", "http://b.com/2", "http://c.com/3"]
+
+
+def test_word_vectors_follow_their_definition(spark):
+    texts = ["alpha beta beta gamma", "beta", "", None, "the of and", "delta Alpha 9 x", "beta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    model = V.fit_embedder(docs, dim=16)
+    kept = [[w for w in (t or "").lower().split() if w in ("alpha", "beta", "gamma", "delta")] for t in texts]
+    df = np.zeros(16)
+    for words in kept:
+        df[[p for p in {V.word_place(w, 16)[0] for w in words}]] += 1
+    assert model == pytest.approx(np.log(8 / (df + 1)))
+    for row in V.embed(docs, model).collect():
+        want = np.zeros(16)
+        for w in kept[row.doc_id]:
+            at, sign = V.word_place(w, 16)
+            want[at] += sign * model[at]
+        norm = np.sqrt((want**2).sum())
+        assert row.embedding == pytest.approx(want / norm if norm else want, abs=1e-6)
+    at, sign = V.word_place("beta", 1024)
+    digest = hashlib.md5(b"beta").hexdigest()
+    assert (at, sign) == (int(digest[:8], 16) % 1024, 1.0 if digest[8] < "8" else -1.0)
