@@ -67,6 +67,14 @@ def _pairs_query(name, cte, scope, window):
 
 _pairs_query("jn5_candidates_same_country", "c_hits", "same", 7)
 _pairs_query("jn6_candidates_other_countries", "o_hits", "other", 5)
+@query("jn6_linked_candidates", with_ctes("""select anchor_id, count(*) as candidates, count(*) filter (event_date < a_event_date)
+    as n_before, count(*) filter (event_date > a_event_date) as n_after from o_hits where actor_hit or code_hit group by 1""", "o_hits"))
+def _(spark, sf):
+    """Candidates in other countries that share an actor or a code, by the index of both."""
+    ev = events(spark, sf, url=False)
+    return pair_counts(CH.linked_pairs(ev, strong_anchors(ev)))
+
+
 _pairs_query("jn7_candidates_any_country", "x_hits", "any", 7)
 
 

@@ -8,7 +8,7 @@ anchor leave each partition.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -347,13 +347,45 @@ def narratives(patterns: DataFrame, anchors: DataFrame) -> DataFrame:
     return patterns.join(anchors, "anchor_id").select("anchor_id", "pattern", text.alias("narrative"))
 
 
+def _actor_keys(names: Sequence[str], codes: Sequence[str]) -> Column:
+    """Different actors and actor country codes of a row that can link it to another one."""
+    def keys(kind: str, columns: Sequence[str], blanks: Sequence[str]) -> list[Column]:
+        return [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*blanks), F.concat(F.lit(kind), F.col(c))) for c in columns]
+
+    return F.array_distinct(F.array_compact(F.array(
+        *keys("a:", names, ("Unknown", "")), *keys("c:", codes, ("UNK", "")))))
+
+
+def linked_pairs(events: DataFrame, anchors: DataFrame, window_days: int = 5) -> DataFrame:
+    """Anchor attributes beside every event of the window in another country that shares an actor or an actor's code.
+
+    Both sides are indexed by (day, actor or code), at most four entries a row and day, and meet in an equi-join; a pair
+    that shares several keys counts under the first of the event's keys that the anchor has too, so it comes out once.
+    """
+    anchor_keys = _actor_keys(("a_actor1", "a_actor2"), ("a_actor1_cc", "a_actor2_cc"))
+    reach = F.sequence(F.date_sub("a_event_date", window_days), F.date_add("a_event_date", window_days))
+    index = anchors.withColumn("_theirs", anchor_keys).withColumn("day", F.explode(reach)).withColumn("_key", F.explode("_theirs"))
+    own = events.withColumn("_keys", _actor_keys(("actor1", "actor2"), ("actor1_cc", "actor2_cc")))
+    met = attach(own.withColumn("_key", F.explode("_keys")), index, ["day", "_key"], spread=["event_id"], max_rows=MAX_ANCHOR_DAYS)
+    first = F.get(F.array_intersect("_keys", "_theirs"), F.lit(0))
+    return met.where((F.col("country") != F.col("a_country")) & (F.col("event_id") != F.col("anchor_id"))
+                     & (F.col("_key") == first)).drop("_key", "_keys", "_theirs")
+
+
 def cross_country_links(events: DataFrame, anchors: DataFrame, window_days: int = 5, top_n: int = 5) -> DataFrame:
-    """Best events in other countries that share an actor or an actor's country code."""
-    scored = scored_pairs(events, anchors, window_days, "other", heuristic(C.CROSS_COUNTRY_WEIGHTS)).where(
-        (F.col("actor_exact_match") > 0) | (F.col("actor_country_match") > 0))
+    """Best events in other countries that share an actor or an actor's country code.
+
+    Only linked pairs are scored; they are ranked as narrow rows, and the other columns are fetched for the best.
+    """
+    needed = ["event_id", "day", "event_date", "country", "root_code", "quad_class", "location", "actor1", "actor2", "actor1_cc",
+              "actor2_cc", "avg_tone", "goldstein", "event_strength", "num_mentions"]
+    pairs = with_features(linked_pairs(events.select(*needed), anchors, window_days))
+    scored = pairs.select("anchor_id", "event_id", heuristic(C.CROSS_COUNTRY_WEIGHTS)().alias("chain_score"))
+    best = settle(top_k(scored, ["anchor_id"], [F.desc("chain_score"), F.col("event_id")], top_n))
+    rows = attach(events, best, ["event_id"], spread=["event_id"])
+    full = with_features(attach(rows, anchors, ["anchor_id"], spread=["event_id"]))
     kept = [c for c in RESULT_COLUMNS if c in events.columns]
-    return top_k(scored.select("anchor_id", *kept, "chain_score", reason_codes().alias("score_reasons")),
-                 ["anchor_id"], [F.desc("chain_score"), F.col("event_id")], top_n)
+    return full.select("anchor_id", *kept, "chain_score", reason_codes().alias("score_reasons"), "rank")
 
 
 def countries_involved(links: DataFrame) -> DataFrame:

@@ -192,3 +192,23 @@ def test_logistic_fit_reaches_the_documented_optimum(spark):
         w, b = w - 0.1 * (z.T @ err / 80 + w), b - 0.1 * err.mean()
     assert [got[f] for f in C.FEATURES] == pytest.approx(w, abs=1e-3)
     assert got["intercept"] == pytest.approx(b, abs=1e-3)
+
+
+def test_linked_pairs_meet_by_key_and_once(spark):
+    shared = dict(actor1="A", actor2="B", actor1_cc="C1", actor2_cc="C2")
+    rows = [dict(event_id=1, country="India", **shared), dict(event_id=2, country="India", actor1="B", actor2="A", actor1_cc="C2", actor2_cc=None),
+            dict(event_id=3, country="India", actor1="Unknown", actor2="", actor1_cc="UNK", actor2_cc="C9"),
+            dict(event_id=4, country="USA", **shared), dict(event_id=5, country="India", day="2024-03-01", **shared),
+            dict(event_id=6, country="India", actor1=None, actor2="A", actor1_cc="C7", actor2_cc="C7")]
+    ev, anchors, _ = build(spark, rows)
+    for max_rows in (CH.MAX_ANCHOR_DAYS, 0):  # broadcast, and copied per salt
+        CH.MAX_ANCHOR_DAYS, kept = max_rows, CH.MAX_ANCHOR_DAYS
+        try:
+            pairs = CH.linked_pairs(ev, anchors)
+            plan = pairs._jdf.queryExecution().executedPlan().toString()
+            got = sorted((r.anchor_id, r.event_id) for r in pairs.collect())
+        finally:
+            CH.MAX_ANCHOR_DAYS = kept
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "_key" in plan
+        brute = CH.with_features(CH.candidate_pairs(ev, anchors, 5, "other")).where("actor_exact_match > 0 or actor_country_match > 0")
+        assert got == sorted((r.anchor_id, r.event_id) for r in brute.collect())
