@@ -277,8 +277,9 @@ def _(spark, sf):
 
 
 def random_cte(p: str) -> str:
-    return f"""select *, row_number() over (partition by anchor_id, trial order by md5('42:' || trial || ':' || anchor_id || ':'
-        || item), item) as rank from (select *, event_id as item, unnest([1, 2, 3, 4, 5]) as trial from {p}_hits) qualify rank <= 10"""
+    return f"""select *, row_number() over (partition by anchor_id, trial order by substr(md5('42:' || anchor_id || ':' || item),
+        1 + {E.TRIAL_DIGITS} * (trial - 1), {E.TRIAL_DIGITS}), item) as rank from (select *, event_id as item,
+        unnest([1, 2, 3, 4, 5]) as trial from {p}_hits) qualify rank <= 10"""
 
 
 add("drawn", ["m_hits"], random_cte("m"))

@@ -13,6 +13,8 @@ BROADCAST_ROWS = 200_000
 SALTS = 32
 # First-stage groups per key in a two-stage top-k.
 SPREAD = 64
+# Parts of the items whose best values bound the k-th best row.
+BOUND_PARTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,6 +98,50 @@ def top_k(
     )
 
 
+def top_many(
+    df: DataFrame, keys: Sequence[str], item: str, scores: dict[str, Column], k: int, name: str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Best ``k`` rows of each key under each of many scores: ``(keys, name, item, keep, score, rank)``, ties by ``item``.
+
+    A first pass over the rows keeps the largest value of every score per key and one of ``BOUND_PARTS`` parts of the items,
+    in one hash aggregate of fixed width. The k-th largest of these belong to k different rows, so no row below it can be
+    among the best. A second pass lets only (row, score) pairs at or above their bound through; those few are ranked.
+    Rows are never copied per score before that. Null scores are never best.
+    """
+    columns = {f"_s{i}": c for i, c in enumerate(scores.values())}
+    wide = df.select(*keys, item, *keep, *[c.alias(n) for n, c in columns.items()])
+    part = F.pmod(F.xxhash64(item), F.lit(max(BOUND_PARTS, 4 * k)))
+    parts = wide.groupBy(*keys, part.alias("_part")).agg(*[F.max(n).alias(n) for n in columns])
+    # bounded: one value per part
+    kth = [F.get(F.sort_array(F.collect_list(n), asc=False), F.lit(k - 1)).alias(n.replace("_s", "_b")) for n in columns]
+    bounds = settle(parts.groupBy(*keys).agg(*kth))
+    met = attach(wide, bounds, keys, spread=[item])
+    good = F.array_compact(F.array(*[
+        F.when(F.col(n) >= F.coalesce(F.col(n.replace("_s", "_b")), F.col(n)), F.struct(F.lit(label).alias(name), F.col(n).alias("score")))
+        for n, label in zip(columns, scores, strict=True)]))
+    few = met.select(*keys, item, *keep, F.inline(good))
+    return top_k(few, [*keys, name], [F.desc("score"), F.col(item)], k)
+
+
+def _decimal(value: int) -> Column:
+    return F.lit(str(value)).cast(f"decimal({len(str(value))},0)")
+
+
+def packed(major: Column, minor: Column) -> Column:
+    """Two whole numbers as one of fixed width, in the order of (major, minor); a minimum of it is a hash aggregate.
+
+    ``major`` within 10**17 of zero, ``minor`` any bigint.
+    """
+    below, half = _decimal(10**20), _decimal(2**63)  # 2**63 makes any bigint non-negative
+    high = (major.cast("decimal(18,0)") + F.lit(10**17).cast("decimal(18,0)")).cast("decimal(18,0)")
+    return (high * below + (minor.cast("decimal(19,0)") + half).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def packed_minor(value: Column) -> Column:
+    """The second number of :func:`packed`."""
+    return (value % _decimal(10**20) - _decimal(2**63)).cast("bigint")
+
+
 def prefer(df: DataFrame, condition: Column) -> DataFrame:
     """Rows that meet ``condition``; all rows when none does (a null counts as not met).
 

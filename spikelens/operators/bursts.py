@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.dist import attach, settle
+from ..functions.dist import attach, packed, packed_minor, settle
 from .aggregate import daily_counts
 
 
@@ -152,11 +152,9 @@ def page_figures(bursts: DataFrame) -> DataFrame:
 def day_anchors(events: DataFrame, days: DataFrame) -> DataFrame:
     """Most mentioned event of each given (day, country); the lowest id on ties.
 
-    A grouped minimum, combined before the shuffle, instead of sorting whole days.
+    A grouped minimum of one packed number, combined before the shuffle, instead of sorting whole days.
     """
     day_events = attach(events, days.select("day", "country"), ["day", "country"], "inner", spread=["event_id"])
-    first = F.struct(F.coalesce(-F.col("num_mentions"), F.lit(1)), F.col("event_id"))
-    return (
-        day_events.groupBy("day", "country").agg(F.min(first).alias("b"))
-        .select("day", "country", F.col("b.event_id").alias("anchor_id"))
-    )
+    first = packed(F.coalesce(-F.col("num_mentions"), F.lit(1)), F.col("event_id"))
+    return day_events.groupBy("day", "country").agg(F.min(first).alias("b")).select(
+        "day", "country", packed_minor(F.col("b")).alias("anchor_id"))

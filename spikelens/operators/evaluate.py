@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.dist import settle, top_k
+from ..functions.dist import settle, top_many
 from .aggregate import hash_order
-from .chains import candidate_pairs, scored_pairs
+from .chains import candidate_pairs, with_features
+
+# Hash digits that order the candidates of one random trial.
+TRIAL_DIGITS = 6
 
 
 def ranking_metrics(retrieved: DataFrame, relevant: DataFrame, queries: DataFrame, keys=("anchor_id",)) -> DataFrame:
@@ -180,19 +183,12 @@ def ablation_weights() -> dict[str, dict[str, float]]:
 
 
 def ablation_ranks(events: DataFrame, anchors: DataFrame, window_days: int = 7, top_n: int = 5) -> DataFrame:
-    """Best ``2 * top_n`` candidates of all countries per anchor and weight set.
-
-    All weight sets are scored on one pass over the pairs.
-    """
-    pairs = scored_pairs(events, anchors, window_days, "any")
+    """Best ``2 * top_n`` candidates of all countries per anchor and weight set, without a copy of the pairs per set."""
+    pairs = with_features(candidate_pairs(events, anchors, window_days, "any"))
     cols = {f: F.col(f) for f in C.FEATURES}
     # ten decimals keep the order apart from summation noise
-    scores = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("config"), X.np_round(X.dot(cols, w), 10).alias("score"))
-        for name, w in ablation_weights().items()]))
-    exploded = pairs.select("anchor_id", "event_id", scores.alias("s")).select(
-        "anchor_id", F.col("event_id").alias("item"), "s.config", "s.score")
-    return top_k(exploded, ["anchor_id", "config"], [F.desc("score"), F.col("item")], 2 * top_n)
+    scores = {name: X.np_round(X.dot(cols, w), 10) for name, w in ablation_weights().items()}
+    return top_many(pairs, ["anchor_id"], "event_id", scores, 2 * top_n, "config").withColumnRenamed("event_id", "item")
 
 
 def ablation_scores(ranks: DataFrame, relevant: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -212,13 +208,16 @@ def delta_to_full(scores: DataFrame) -> DataFrame:
 
 
 def random_ranks(events: DataFrame, anchors: DataFrame, window_days: int = 7, top_n: int = 5, trials: int = 5):
-    """Random ``2 * top_n`` candidates of all countries per anchor and trial, repeatable."""
-    pairs = candidate_pairs(events, anchors, window_days, "any")
-    drawn = pairs.select(
-        "anchor_id", F.col("event_id").alias("item"), "country", "actor1", "actor2", "a_country", "a_actor1", "a_actor2",
-        F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"),
-    ).withColumn("_h", hash_order("trial", "anchor_id", "item"))
-    return top_k(drawn, ["anchor_id", "trial"], [F.col("_h"), F.col("item")], 2 * top_n).drop("_h")
+    """Random ``2 * top_n`` candidates of all countries per anchor and trial, repeatable.
+
+    A pair is hashed once; each trial orders the pairs by digits of its own of that hash.
+    """
+    pairs = candidate_pairs(events, anchors, window_days, "any").withColumn("_digits", hash_order("anchor_id", "event_id"))
+    draws = {t: -F.conv(F.substring("_digits", 1 + TRIAL_DIGITS * (t - 1), TRIAL_DIGITS), 16, 10).cast("int")
+             for t in range(1, trials + 1)}
+    keep = ("country", "actor1", "actor2", "a_country", "a_actor1", "a_actor2")
+    ranks = top_many(pairs, ["anchor_id"], "event_id", draws, 2 * top_n, "trial", keep)
+    return ranks.withColumnRenamed("event_id", "item").drop("score")
 
 
 def random_baseline(ranks: DataFrame, relevant: DataFrame, anchors: DataFrame, trials: int = 5) -> DataFrame:

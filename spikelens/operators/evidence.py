@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.dist import attach, pin, settle, top_k
+from ..functions.dist import attach, packed, pin, settle, top_k
 from .bursts import burst_days
 from .keywords import tokens
 
@@ -34,7 +34,8 @@ def spike_urls(events: DataFrame, bursts: DataFrame, n: int = 20) -> DataFrame:
     on_spike = attach(
         events.where(F.col("source_url").isNotNull()), burst_days(bursts), KEYS, "left_semi", spread=["event_id"])
     conflict = F.coalesce(F.col("quad_class") >= 3, F.lit(False)).cast("int")
-    best = F.min(F.struct((-conflict).alias("c"), F.coalesce(-F.col("num_mentions"), F.lit(1)).alias("m"), "event_id"))
+    # conflict first: mentions are far below 10**12
+    best = F.min(packed(F.coalesce(-F.col("num_mentions"), F.lit(1)) - conflict * F.lit(10**12), F.col("event_id")))
     urls = on_spike.groupBy(*KEYS, "source_url").agg(best.alias("b")).where(~X.is_blocked(F.col("source_url")))
     return top_k(urls, KEYS, [F.col("b")], n).select(*KEYS, "rank", "source_url")
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spikelens.functions import exprs as X
-from spikelens.functions.dist import SALTS, attach, prefer, settle, top_k
+from conftest import events
+from spikelens.functions.dist import SALTS, attach, packed, packed_minor, prefer, settle, top_k, top_many
+from spikelens.operators import bursts as B, evidence as V
 
 
 @pytest.mark.parametrize("raw, want", [
@@ -93,3 +95,36 @@ def test_prefer(spark):
     assert prefer(df, F.col("id") > 3).count() == 1
     assert prefer(df, F.col("id") > 30).count() == 5
     assert prefer(df, F.lit(None).cast("boolean")).count() == 5
+
+
+def test_packed_numbers_keep_their_order(spark):
+    pairs = [(a, b) for a in (-(10**16), -1, 0, 1, 10**16) for b in (-(2**63), -5, 0, 7, 2**63 - 1)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").withColumn("p", packed(F.col("a"), F.col("b")))
+    rows = df.withColumn("back", packed_minor(F.col("p"))).orderBy("p").collect()
+    assert [(r.a, r.b) for r in rows] == sorted(pairs) and all(r.back == r.b for r in rows)
+    plan = df.groupBy("a").agg(F.min("p"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_top_many_equals_ranking_every_copy(spark, k):
+    rows = [(i % 3, i, float(i * 7 % 11), float(-(i % 5)), None if i % 2 else float(i)) for i in range(500)] + [(9, 900, 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "g int, item bigint, x double, y double, z double")
+    got = top_many(df, ["g"], "item", {"x": F.col("x"), "y": F.col("y"), "z": F.col("z")}, k, "name")
+    want = []
+    for g in (0, 1, 2, 9):
+        for i, name in enumerate("xyz"):
+            best = sorted((-r[2 + i], r[1]) for r in rows if r[0] == g and r[2 + i] is not None)[:k]
+            want += [(g, name, item, -s, n) for n, (s, item) in enumerate(best, 1)]
+    assert sorted((r.g, r.name, r.item, r.score, r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_narrow_minima_are_hash_aggregates(spark):
+    rows = [dict(event_id=i, day="2024-01-10", source_url=f"http://a{i % 3}.com/x", num_mentions=i) for i in range(9)]
+    ev = events(spark, rows)
+    days = spark.createDataFrame([("2024-01-10", "USA", True)], "day string, country string, is_burst boolean").withColumn(
+        "day", F.col("day").cast("date"))
+    assert B.day_anchors(ev, days).first().anchor_id == 8
+    for df in (B.day_anchors(ev, days), V.spike_urls(ev, days)):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.source_url for r in V.spike_urls(ev, days).orderBy("rank").collect()] == ["http://a2.com/x", "http://a1.com/x", "http://a0.com/x"]
