@@ -22,8 +22,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on 2-word shingles as in the query of the operator."""
-    return near_dedup.survivors(docs, shingle=2).select(*docs.columns)
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.survivors(docs).select(*docs.columns)
 
 
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
