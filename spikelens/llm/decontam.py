@@ -1,7 +1,10 @@
-"""Benchmark decontamination: n-gram seeds, then local alignment.
+"""Benchmark decontamination: rare seeds, then local alignment.
 
-All n-grams of the test items are seeds. Seeds found in a text lead to (text, item) pairs where they lie; an item held by a
-third of all texts costs each of them its own alignment and no shuffle. Items are taken in blocks of bounded size, so what tasks receive does not grow with the benchmark.
+An alignment that reaches the threshold matches at least so many of an item's words that one of its rarest ones must be among
+them: the seeds of an item of n words that needs m matches are its n - m + 1 rarest words, by their number in the corpus. So
+no pair is lost, whatever the edits. Seeds found in a text lead to (text, item) pairs where they lie; an item held by a
+third of all texts costs each of them its own alignment and no shuffle. Items are taken in blocks of bounded size, so what
+tasks receive does not grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ from pyspark.sql import DataFrame, Row, functions as F
 from .common import pieces, word_hashes, word_spans
 from .licenses import GAP, LOWER
 
-GRAM = 4
 BLOCK_BYTES = 4 << 20  # items' text per pass over the corpus
 MATCH, MISMATCH, SPACE = 2, -1, -1
 THRESHOLD = 0.5
+#: Shorter items match nothing; up to WHOLE words an item must stand whole, a longer one scores at least as much.
+SHORTEST, WHOLE = 3, 4
 
 
 def words_of(p):
@@ -28,19 +32,6 @@ def words_of(p):
     return word_hashes(data, a, b), first, a, b
 
 
-def grams(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every n-gram within a piece, with its place."""
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    x = np.zeros(n, np.uint64)
-    for k in range(size):
-        x = x * np.uint64(0x9E3779B97F4A7C15) + (h[k : n + k] ^ (h[k : n + k] >> np.uint64(29)))
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.flatnonzero(owner[:n] == owner[size - 1 :])
-    return x[at], at
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment (Smith-Waterman, linear gaps): score, first and end word in ``text``.
 
@@ -82,27 +73,38 @@ def _item_words(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def needed(length: np.ndarray, threshold: float) -> np.ndarray:
+    """Score that an item of so many words must reach."""
+    return np.maximum(np.ceil(MATCH * length * threshold - 1e-9), MATCH * np.minimum(length, WHOLE)).astype(np.int64)
+
+
 class Finder:
-    """Items of one block with their n-grams; finds (row, item id, score, first word, end word, n-grams met) in a text column.
+    """Items of one block with their seeds; finds (row, item id, score, first word, end word, seeds met) in a text column.
 
-    Every n-gram of an item is a seed. An item is aligned only where it has enough of its words: a score is at most MATCH
-    for each, so what is passed over cannot reach the threshold.
+    ``counts`` says how often each word hash of the items stands in the corpus; without it all words are equally rare. An
+    item is aligned only where it has enough of its words: a score is at most MATCH for each, so what is passed over cannot
+    reach the threshold.
     """
 
-    def __init__(self, items: list[np.ndarray], ids: list, size: int, threshold: float):
-        self.ids, self.size, self.threshold = ids, size, threshold
+    def __init__(self, items: list[np.ndarray], ids: list, threshold: float, counts: dict[int, int] | None = None):
+        self.ids = ids
         self.start = np.cumsum([0, *[len(h) for h in items]])
         self.words = np.concatenate([np.zeros(0, np.uint64), *items])
         self.known, self.number = np.unique(self.words, return_inverse=True)
         length = np.diff(self.start)
-        # gaps of an alignment that reaches the threshold, so how far it strays from the diagonal of any n-gram in it
-        self.margin = np.ceil(MATCH * length * (1 - threshold)).astype(np.int64)
-        x, at = grams(self.words, self.start, size)
-        item = np.searchsorted(self.start, at, "right") - 1
-        order = np.lexsort((at, item, x))
-        x, item, offset = x[order], item[order], (at - self.start[item])[order]
+        self.need = needed(length, threshold)
+        # gaps of an alignment that reaches the score, so how far it strays from the diagonal of any match in it
+        self.margin = MATCH * length - self.need
+        item = np.repeat(np.arange(len(length)), length)
+        often = np.array([(counts or {}).get(int(w), 0) for w in self.known], np.int64)[self.number] if len(self.known) else item
+        rare = np.lexsort((self.words, often, item))
+        place = np.arange(len(rare)) - self.start[item[rare]]
+        chosen = rare[(place <= length[item[rare]] - -(-self.need[item[rare]] // MATCH)) & (length[item[rare]] >= SHORTEST)]
+        x, item, offset = self.words[chosen], item[chosen], chosen - self.start[item[chosen]]
+        order = np.lexsort((offset, item, x))
+        x, item, offset = x[order], item[order], offset[order]
         first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (item[1:] != item[:-1]))[: len(x)])
-        # an n-gram that an item repeats is one entry, from its first to its last place
+        # a word that an item repeats is one entry, from its first to its last place
         self.item, self.low, self.high = item[first], offset[first], offset[np.append(first[1:], len(x)) - 1] if len(x) else offset
         self.seeds, begin = np.unique(x[first], return_index=True)
         self.begin = np.append(begin, len(first))
@@ -111,16 +113,15 @@ class Finder:
         present = np.zeros(len(self.known), bool)
         for p in pieces(column):
             h, first, _, _ = words_of(p)
-            x, place = grams(h, first, self.size)
-            if not len(self.seeds) or not len(x):
+            if not len(self.seeds) or not len(h):
                 continue
-            at = np.minimum(np.searchsorted(self.seeds, x), len(self.seeds) - 1)
-            hit = np.flatnonzero(self.seeds[at] == x)
-            if not len(hit):
+            at = np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)
+            where = np.flatnonzero(self.seeds[at] == h)
+            if not len(where):
                 continue
-            found, where = at[hit], place[hit]
+            found = at[where]
             texts, cuts = np.unique(np.searchsorted(first, where, "right") - 1, return_index=True)
-            for i, c, d in zip(texts.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(hit)], strict=True):
+            for i, c, d in zip(texts.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(where)], strict=True):
                 lo, hi = int(first[i]), int(first[i + 1])
                 for item, share, a, b, n in self._in_text(h[lo:hi], found[c:d], where[c:d] - lo, present):
                     yield int(p.row[i]), self.ids[item], share, a, b, n
@@ -150,14 +151,13 @@ class Finder:
             for a, b in spans:
                 seen = numbers[a:b][numbers[a:b] >= 0]
                 present[seen] = True
-                enough = present[own].sum() / len(own) >= self.threshold
+                enough = MATCH * present[own].sum() >= self.need[i]
                 present[seen] = False
                 if enough:
                     score, x0, x1 = align(self.words[self.start[i] : self.start[i + 1]], text[a:b])
                     best = max(best, (score, a + x0, a + x1))
-            share = best[0] / (MATCH * len(own))
-            if share >= self.threshold:
-                yield i, share, best[1], best[2], d - c
+            if best[0] >= self.need[i]:
+                yield i, best[0] / (MATCH * len(own)), best[1], best[2], d - c
 
 
 def _leak_rows(finder: Finder, columns: tuple[str, ...]):
@@ -195,33 +195,56 @@ def blocks(benchmark: DataFrame, item: str, text: str, size: int = BLOCK_BYTES)
         yield held
 
 
-def finders(benchmark: DataFrame, item: str, item_text: str, gram: int, threshold: float) -> Iterator[Finder]:
-    """One finder per block of items."""
+def _word_counts(known: np.ndarray):
+    """Per task: how often each of the ``known`` word hashes stands in the texts."""
+    def rows(batches):
+        total = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for p in pieces(batch.column("text")):
+                h = words_of(p)[0]
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                total += np.bincount(at[known[at] == h], minlength=len(known))
+        yield pa.record_batch([pa.array(np.arange(len(known), dtype=np.int32)), pa.array(total)], ["i", "n"])
+
+    return rows
+
+
+def finders(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, threshold: float) -> Iterator[Finder]:
+    """One finder per block of items, with the words of the block counted in ``docs``."""
+    own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     for block in blocks(benchmark, item, item_text):
-        yield Finder(_item_words([r["text"] for r in block]), [r["id"] for r in block], gram, threshold)
+        items = _item_words([r["text"] for r in block])
+        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *items]))
+        counts = {}
+        if len(known):
+            found = own.mapInArrow(_word_counts(known), "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
+            counts = {int(known[r.i]): r.n for r in found.collect()}  # words of one block
+        yield Finder(items, [r["id"] for r in block], threshold, counts)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc: tuple[str, ...] = ("doc_id",), text: str = "text", item: str = "item_id",
-          item_text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
+          item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(document, item) pairs whose best local alignment reaches ``threshold`` of the item's perfect score.
 
     Columns: ``doc``, item_id, score, first_word, end_word (the aligned span of the text's words) and n_seeds, the places
-    of the text where an n-gram of the item lies. Items shorter than an n-gram and null or empty texts match nothing. One
-    pass over the corpus per block of items, no shuffle of texts.
+    of the text where one of the item's rarest words lies. Items of up to four words must stand whole, those of up to eight
+    score like four whole words at least, so that a common phrase is no leak; items under three words and null or empty texts
+    match nothing. Repeated rows match each by itself, empty tables give no rows. Two passes over the corpus per block of
+    items, no shuffle of texts.
     """
     rows = docs.select(*doc, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumnRenamed("__text", "text")
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     kinds += "item_id long, score double, first_word long, end_word long, n_seeds long"
     result = docs.sparkSession.createDataFrame([], kinds)
-    for finder in finders(benchmark, item, item_text, gram, threshold):
+    for finder in finders(docs, text, benchmark, item, item_text, threshold):
         result = result.unionByName(rows.mapInArrow(_leak_rows(finder, doc), kinds))
     return result
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = GRAM,
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
           threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs``, all columns unchanged, that hold no test item; see ``leaks``. No shuffle takes place."""
     out = docs
-    for finder in finders(benchmark, item, item_text, gram, threshold):
+    for finder in finders(docs, text, benchmark, item, item_text, threshold):
         out = out.mapInArrow(_clean_rows(finder, text), docs.schema)
     return out

@@ -311,6 +311,32 @@ def test_edited_copies(spark):
     assert {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in found.collect()} == want
 
 
+def test_no_edited_copy_is_lost(spark):
+    """Items of 1 to 60 words among common words, copied with up to 40 per cent of edits, against aligning all pairs."""
+    rnd = random.Random(23)
+    common = [f"c{i}" for i in range(12)]
+    word = lambda: rnd.choice(common) if rnd.random() < 0.5 else f"w{rnd.randrange(3000)}"
+    items = [[word() for _ in range(n)] for n in [*range(1, 13), 15, 15, 20, 30, 40, 59, 60] for _ in range(2)]
+    cases = []
+    for item in items:
+        for rate in (0, 0.1, 0.25, 0.35, 0.4):
+            copy = [x for w in item for x in rnd.choice([[word()], [], [w, word()]] if rnd.random() < rate else [[w]])]
+            cases.append([word() for _ in range(20)] + copy + [word() for _ in range(20)])
+        cases.append([x for i, w in enumerate(item) for x in ([word()] if i % 4 == 3 else [w])])
+        cases.append([x for w in item for x in (w, word())])
+    number = {w: k for k, w in enumerate(sorted({w for x in [*items, *cases] for w in x}))}
+    code = lambda words: np.array([number[w] for w in words], np.int64)
+    want = {}
+    for d, i in itertools.product(range(len(cases)), range(len(items))):
+        n = len(items[i])
+        score = decontam.align(code(items[i]), code(cases[d]))[0] if n >= 3 else 0
+        if n >= 3 and score >= max(n, 2 * min(n, 4)):
+            want[d, i] = score / (2 * n)
+    rows = lambda x, name: spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(x)], f"{name} long, text string")
+    found = decontam.leaks(rows(cases, "doc_id").repartition(3), rows(items, "item_id"))
+    assert len(want) > 120 and {(r.doc_id, r.item_id): r.score for r in found.collect()} == want
+
+
 def test_alignment():
     rnd = np.random.default_rng(4)
     for _ in range(40):
