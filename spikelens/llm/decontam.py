@@ -21,6 +21,7 @@ from .licenses import GAP, LOWER
 BLOCK_BYTES = 4 << 20  # items' text per pass over the corpus
 MATCH, MISMATCH, SPACE = 2, -1, -1
 THRESHOLD = 0.5
+CELLS = 1 << 21  # (word, item) sums held at once
 #: Shorter items match nothing; up to WHOLE words an item must stand whole, a longer one scores at least as much.
 SHORTEST, WHOLE = 3, 4
 
@@ -82,8 +83,8 @@ class Finder:
     """Items of one block with their seeds; finds (row, item id, score, first word, end word, seeds met) in a text column.
 
     ``counts`` says how often each word hash of the items stands in the corpus; without it all words are equally rare. An
-    item is aligned only where it has enough of its words: a score is at most MATCH for each, so what is passed over cannot
-    reach the threshold.
+    item is aligned only where enough of its words stand close together (``_reachable``), so what is passed over cannot reach
+    the threshold.
     """
 
     def __init__(self, items: list[np.ndarray], ids: list, threshold: float, counts: dict[int, int] | None = None):
@@ -109,8 +110,27 @@ class Finder:
         self.seeds, begin = np.unique(x[first], return_index=True)
         self.begin = np.append(begin, len(first))
 
+    def _reachable(self, numbers: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Per item the largest sum over neighbouring words of a text, MATCH for words of the item and a gap's cost for others.
+
+        It bounds every alignment: each word of its stretch of text is a match or costs at least that much.
+        """
+        kinds, which = np.unique(numbers, return_inverse=True)
+        size = self.start[items + 1] - self.start[items]
+        source = np.repeat(self.start[items] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        word = self.number[source]
+        at = np.minimum(np.searchsorted(kinds, word), len(kinds) - 1)
+        own = kinds[at] == word
+        worth = np.full((len(kinds), len(items)), SPACE, np.int32)
+        worth[at[own], np.repeat(np.arange(len(items)), size)[own]] = MATCH
+        out, step = [], max(1, CELLS // len(numbers))
+        for lo in range(0, len(items), step):
+            total = np.zeros((len(numbers) + 1, len(items[lo : lo + step])), np.int32)
+            np.cumsum(worth[:, lo : lo + step][which], axis=0, out=total[1:])
+            out.append((total - np.minimum.accumulate(total)).max(0))
+        return np.concatenate(out)
+
     def find(self, column) -> Iterator[tuple[int, int, float, int, int, int]]:
-        present = np.zeros(len(self.known), bool)
         for p in pieces(column):
             h, first, _, _ = words_of(p)
             if not len(self.seeds) or not len(h):
@@ -123,10 +143,10 @@ class Finder:
             texts, cuts = np.unique(np.searchsorted(first, where, "right") - 1, return_index=True)
             for i, c, d in zip(texts.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(where)], strict=True):
                 lo, hi = int(first[i]), int(first[i + 1])
-                for item, share, a, b, n in self._in_text(h[lo:hi], found[c:d], where[c:d] - lo, present):
+                for item, share, a, b, n in self._in_text(h[lo:hi], found[c:d], where[c:d] - lo):
                     yield int(p.row[i]), self.ids[item], share, a, b, n
 
-    def _in_text(self, text: np.ndarray, found: np.ndarray, where: np.ndarray, present: np.ndarray):
+    def _in_text(self, text: np.ndarray, found: np.ndarray, where: np.ndarray):
         n = self.begin[found + 1] - self.begin[found]
         entry = np.repeat(self.begin[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
         item, place = self.item[entry], np.repeat(where, n)
@@ -139,7 +159,8 @@ class Finder:
         numbers = np.minimum(np.searchsorted(self.known, text), len(self.known) - 1)
         numbers = np.where(self.known[numbers] == text, numbers, -1)
         held, cuts = np.unique(item, return_index=True)
-        for i, c, d in zip(held.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(item)], strict=True):
+        ends, worth = np.append(cuts[1:], len(item)), self._reachable(numbers, held) >= self.need[held]
+        for i, c, d in zip(held[worth].tolist(), cuts[worth].tolist(), ends[worth].tolist(), strict=True):
             own = self.number[self.start[i] : self.start[i + 1]]
             spans: list = []
             for a, b in zip(begin[c:d].tolist(), end[c:d].tolist(), strict=True):  # near ones together
@@ -149,13 +170,8 @@ class Finder:
                     spans.append([a, b])
             best = (0, 0, 0)
             for a, b in spans:
-                seen = numbers[a:b][numbers[a:b] >= 0]
-                present[seen] = True
-                enough = MATCH * present[own].sum() >= self.need[i]
-                present[seen] = False
-                if enough:
-                    score, x0, x1 = align(self.words[self.start[i] : self.start[i + 1]], text[a:b])
-                    best = max(best, (score, a + x0, a + x1))
+                score, x0, x1 = align(self.words[self.start[i] : self.start[i + 1]], text[a:b])
+                best = max(best, (score, a + x0, a + x1))
             if best[0] >= self.need[i]:
                 yield i, best[0] / (MATCH * len(own)), best[1], best[2], d - c
 
