@@ -176,38 +176,35 @@ def clean_article(text: Column, max_chars: int | None = None) -> Column:
 
 # --- passages ----------------------------------------------------------------
 
+def _piece_pattern(size: int, overlap: int, lookback: int) -> str:
+    """Pattern whose matches step from piece to piece; group 1 is the piece, seen ahead of the step.
+
+    A greedy count finds the last ". " near the end of a piece, and the step beside it counts alike, so it ends
+    ``overlap`` before the same place. Cases in this order: more text and a sentence end, more text, the rest.
+    """
+    more, low, stride = f"(?=.{{{size + 1}}})", max(0, size - lookback), max(1, size - overlap)
+    steps, far = [], max(low + 2, overlap + 1)  # the shortest piece that is longer than its overlap
+    if far <= size and overlap >= 2:
+        steps.append(more + rf".{{{far - overlap},{size - overlap}}}(?=.{{{overlap - 2}}}\. )")
+    elif far <= size:
+        steps.append(more + rf".{{{far - 2},{size - 2}}}" + (r"\.(?= )" if overlap else r"\. "))
+    if low + 2 <= min(overlap, size):
+        steps.append(more + rf"(?=.{{{low},{min(overlap, size) - 2}}}\. ).{{{stride}}}")
+    steps += [f"{more}.{{{stride}}}", rf".{{1,{size}}}(?=.{{{overlap}}}\z)", f".{{1,{stride}}}"]
+    pieces = ([rf"{more}.{{{low},{size - 2}}}\. "] if low + 2 <= size else []) + [f".{{1,{size}}}"]
+    return f"(?s)(?=({'|'.join(pieces)}))(?:{'|'.join(steps)})"
+
+
 def chunk(docs: DataFrame, text: str = "text", size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
     """Overlapping pieces of each text as ``(chunk_idx, text)`` rows with all other columns repeated.
 
-    A piece ends after the last ". " near its end when there is one. Each cut depends on the one before, so the cuts of a
-    text are a fold. It reads from blocks as long as a piece, of which a piece meets two, so a step costs the same
-    anywhere in a long text.
+    A piece ends after the last ". " near its end when there is one. Each cut depends on the one before; one pass of a
+    pattern makes them all, so a text costs time and memory by its length, however long it is.
     """
     others = [c for c in docs.columns if c != text]
     flat = pin(docs.select(*others, F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")).alias("_flat")))
-    flat = pin(flat.select(*others, F.length("_flat").alias("_n"),
-                           F.regexp_extract_all("_flat", F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)).alias("_blocks")))
-    head = size - C.CHUNK_LOOKBACK
-
-    def part(start: Column, length: Column) -> Column:
-        block = F.floor(start / size).cast("int")
-        two = F.concat(F.get("_blocks", block), F.coalesce(F.get("_blocks", block + 1), F.lit("")))
-        return F.substring(two, start % size + 1, length)
-
-    def cut(state: Column, _: Column) -> Column:
-        start = state["start"]
-        back = F.instr(F.reverse(part(start + head, F.lit(C.CHUNK_LOOKBACK))), F.lit(" ."))
-        whole = F.least(F.lit(size), F.col("_n") - start)
-        length = F.when((start + size < F.col("_n")) & (back > 0), F.lit(size + 1) - back).otherwise(whole)
-        step = F.when(length > overlap, length - overlap).otherwise(F.lit(max(1, size - overlap)))
-        done = F.concat(state["cuts"], F.array(F.struct(start.alias("start"), length.alias("length"))))
-        return F.when(start >= F.col("_n"), state).otherwise(F.struct((start + step).alias("start"), done.alias("cuts")))
-
-    shortest = max(1, head + 2 - overlap)  # a step, but for the last two, which meet the end of the text
-    state = F.aggregate(
-        F.sequence(F.lit(0), F.floor(F.col("_n") / shortest).cast("int") + 2),
-        F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start: int, length: int>>").alias("cuts")), cut)
-    pieces = F.transform(state["cuts"], lambda c: F.trim(part(c["start"], c["length"])))
+    pattern = F.lit(_piece_pattern(size, overlap, C.CHUNK_LOOKBACK))
+    pieces = F.transform(F.regexp_extract_all("_flat", pattern, F.lit(1)), lambda p: F.trim(p))
     pieces = F.filter(pieces, lambda p: F.length(p) >= C.MIN_CHUNK_CHARS)
     return flat.select(*others, F.inline(F.transform(pieces, lambda p, i: F.struct(i.alias("chunk_idx"), p.alias(text)))))
 

@@ -98,6 +98,22 @@ def test_chunks(spark, text):
     assert [r.chunk_idx for r in got] == list(range(len(got)))
 
 
+@pytest.mark.parametrize("size, overlap", [(500, 0), (500, 1), (300, 200), (200, 150), (120, 119)])
+def test_chunks_of_other_sizes(spark, size, overlap):
+    texts = ["word. " * 90 + "x" * 700 + ". end " * 60, "y" * 1000, "é😀. " * 300, "short. " * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {}
+    for r in V.chunk(df, size=size, overlap=overlap).orderBy("id", "chunk_idx").collect():
+        got.setdefault(r.id, []).append(r.text)
+    assert [got.get(i, []) for i in range(len(texts))] == [slow_chunks(t, size, overlap) for t in texts]
+
+
+def test_chunks_of_a_long_text(spark):
+    text = "A sentence of some length, number nine. " * 100_000  # 4 MB: far too long for cuts that copy a list
+    df = spark.createDataFrame([(1, text)], "id bigint, text string")
+    assert [r.text for r in V.chunk(df).orderBy("chunk_idx").collect()] == slow_chunks(text)
+
+
 def test_page_text():
     long = "This paragraph is certainly longer than forty characters."
     assert V.page_text(f"<p>{long}</p><nav><p>{long}</p></nav><p>short</p>") == long
