@@ -29,7 +29,7 @@ SCORED = ("anchor_id", "event_id", "side", "position", "chain_score", "score_rea
 
 
 def strong_anchors(ev):
-    return CH.anchor_rows(ev, A.strongest(ev).select(F.col("event_id").alias("anchor_id")))
+    return CH.anchor_rows(ev, A.strongest(ev).select(F.col("event_id").alias("anchor_id"), "event_date"))
 
 
 def placed(spark, sf):

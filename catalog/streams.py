@@ -76,7 +76,23 @@ def _(spark, sf):
     finish(spark, ST.daily_counts(event_stream(spark, sf, base)), base, "counts")
     first = spark.read.parquet(f"{base}/counts").agg(F.min("day").cast("string")).first()[0]
     counts = spark.readStream.schema("day date, country string, event_count bigint").parquet(f"{base}/counts")
-    return finish(spark, ST.spike_stream(counts, start_day=first), base, "spikes")
+    return ST.closed_days(finish(spark, ST.spike_stream(counts, start_day=first), base, "spikes"))
+
+
+@query("str4_late_and_early_days", with_ctes("""select day, country, event_count, case when day < lo + 5 then 'early' else 'late' end
+    as status from daily, (select min(day) as lo from daily) where day < lo + 5 or date_diff('day', date '1970-01-01', day) % 3 = 0""",
+    "daily"), dates="day")
+def _(spark, sf):
+    """Counts of every third day come a second time, after their day was closed; the first five days lie before the start."""
+    base = scratch(spark)
+    counts = finish(spark, ST.daily_counts(event_stream(spark, sf, base)), base, "counts")
+    start = counts.agg(F.date_add(F.min("day"), 5).alias("day")).first().day
+    third = F.date_diff("day", F.lit("1970-01-01").cast("date")) % 3 == 0
+    for i, part in enumerate((counts, counts.where(third & (F.col("day") >= F.lit(start))))):
+        part.write.mode("append").parquet(f"{base}/given")
+        given = spark.readStream.schema("day date, country string, event_count bigint").parquet(f"{base}/given")
+        days = finish(spark, ST.spike_stream(given, start_day=str(start)), base, "spikes")
+    return ST.outside_days(days)
 
 
 @query("str5_sliding_tone", with_ctes("""select until - 7 as since, until, country, avg(avg_tone) as mean_tone, count(avg_tone) as n

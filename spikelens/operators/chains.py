@@ -27,10 +27,34 @@ RESULT_COLUMNS = (
 MAX_ANCHOR_DAYS = 100_000
 
 
+def near_days(events: DataFrame, days: DataFrame, column: str, reach: int = 0) -> DataFrame:
+    """Events within ``reach`` days of some day of a settled table, and maybe others of the same months.
+
+    The span of days and the months, at most as many as there are months of events, become plain filters: stored months
+    outside are not read, nor row groups outside the span.
+    """
+    around = F.sequence(F.date_sub(column, reach), F.date_add(column, reach))
+    months = F.array_sort(F.collect_set("m"))
+    span = days.select(column, F.explode(F.transform(around, lambda d: F.date_format(d, "yyyy-MM"))).alias("m")).agg(
+        F.date_sub(F.min(column), reach).alias("lo"), F.date_add(F.max(column), reach).alias("hi"), months.alias("m")).first()
+    if span.lo is None:
+        return events.where(F.lit(False))
+    if "month_label" in events.columns:
+        events = events.where(F.col("month_label").isin(*span.m))
+    return events.where(F.col("event_date").between(F.lit(span.lo), F.lit(span.hi)))
+
+
 def anchor_rows(events: DataFrame, anchor_ids: DataFrame) -> DataFrame:
-    """Attributes of the anchors, prefixed ``a_``; ids without a dated event drop out."""
-    ids = settle(anchor_ids.select(F.col("anchor_id").alias("event_id")).distinct())
-    found = attach(events, ids, ["event_id"], "left_semi", spread=["event_id"])
+    """Attributes of the anchors, prefixed ``a_``; ids without a dated event drop out.
+
+    When ``anchor_ids`` also says the ``event_date`` of each anchor, only the months of these dates are read; an id with
+    a wrong date then counts as not found.
+    """
+    dated = ["event_date"] if "event_date" in anchor_ids.columns else []
+    ids = settle(anchor_ids.select(F.col("anchor_id").alias("event_id"), *dated).distinct())
+    if dated:
+        events = near_days(events, ids, "event_date")
+    found = attach(events, ids, ["event_id", *dated], "left_semi", spread=["event_id"])
     return settle(
         found.where(F.col("event_date").isNotNull()).select(
             F.col("event_id").alias("anchor_id"),
@@ -44,6 +68,7 @@ def candidate_pairs(events: DataFrame, anchors: DataFrame, window_days: int = 7,
 
     ``scope``: "same" country, "other" countries, or "any".
     """
+    events = near_days(events, anchors, "a_event_date", window_days)
     reach = F.sequence(F.date_sub("a_event_date", window_days), F.date_add("a_event_date", window_days))
     wide = anchors.withColumn("day", F.explode(reach))
     if scope == "same":
@@ -172,8 +197,9 @@ def find_chains(
 
 def with_details(chain: DataFrame, events: DataFrame, anchors: DataFrame, keep=RESULT_COLUMNS) -> DataFrame:
     """Settled chain rows with event columns, the 16 features and the reason codes."""
-    wanted = chain.select(F.col("event_id"), "anchor_id", "chain_score", "side", "position")
-    rows = attach(events, wanted, ["event_id"], "inner", spread=["event_id"])
+    wanted = chain.select(F.col("event_id"), "event_date", "anchor_id", "chain_score", "side", "position")
+    events = near_days(events, wanted, "event_date")
+    rows = attach(events, wanted, ["event_id", "event_date"], "inner", spread=["event_id"])
     pairs = attach(rows, anchors, ["anchor_id"], "inner", spread=["event_id"])
     kept = [c for c in keep if c in events.columns]
     return with_features(pairs).select(

@@ -50,18 +50,21 @@ def event_texts(events: DataFrame, *groups: str) -> DataFrame:
 def term_counts(docs: DataFrame, keys, country: Column | None = None, pairs: bool = True) -> DataFrame:
     """Occurrences of each term in each document. ``keys`` identify a document.
 
-    The words are a column of their own first, so each text is taken apart once.
-
-    Grouping on top of documents already hashed on ``keys`` needs no new shuffle, and
-    the words of one document meet in the map-side step.
+    Counted inside the row: the terms are sorted and cut where one differs from the one before, so no row of a document
+    meets another and nothing is shuffled. Each step is a column made once, by a generator that no projection merges
+    with the next; the keys stand outside of it, so documents already hashed on them stay so.
     """
-    words = docs.withColumn("_words", tokens(F.col("text"), country)).withColumn("n_words", F.size("_words"))
+    rest = [*keys, "n", "n_words"]
+    words = docs.select(*keys, "n", F.inline(F.array(F.struct(tokens(F.col("text"), country).alias("_words")))))
+    words = words.withColumn("n_words", F.size("_words"))
     terms = ngrams(F.col("_words")) if pairs else F.col("_words")
-    return (
-        words.select(*keys, "n", "n_words", F.explode(terms).alias("term"))
-        .groupBy(*keys, "n", "n_words", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    words = words.select(*rest, F.inline(F.array(F.struct(F.array_sort(terms).alias("_terms")))))
+    first = F.transform("_terms", lambda t, i: F.when((i == 0) | (t != F.get("_terms", i - 1)), i))
+    words = words.select(*rest, "_terms", F.inline(F.array(F.struct(F.array_compact(first).alias("_first")))))
+    runs = F.transform("_first", lambda at, i: F.struct(
+        F.get("_terms", at).alias("term"),
+        (F.coalesce(F.get("_first", i + 1), F.size("_terms")) - at).cast("bigint").alias("tf")))
+    return words.select(*rest, F.inline(runs))
 
 
 def fit_tfidf(

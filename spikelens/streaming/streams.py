@@ -65,9 +65,13 @@ def spike_stream(
     The state of a country is its last day and its last ``window`` counts. Days with
     no row are filled with zero once a later day arrives. ``start_day`` begins every
     country at the same day; otherwise at its first one.
+
+    ``status`` is "closed" for these rows. No count vanishes: one of a day before ``start_day`` comes out as "early", one
+    of a day that was closed before as "late", both with null baselines and without a part in later ones. Counts of one day
+    that come in one batch are added up. :func:`closed_days` and :func:`outside_days` tell them apart.
     """
     schema = ("day date, country string, event_count bigint, rolling_mean double, rolling_std double, "
-              "z_score double, is_burst boolean")
+              "z_score double, is_burst boolean, status string")
     epoch = pd.Timestamp("1970-01-01")
     first = None if start_day is None else (pd.Timestamp(start_day) - epoch).days - 1
 
@@ -80,19 +84,32 @@ def spike_stream(
         rows = []
         for day, count in counts_by_day.items():
             if last is not None and day <= last:
-                continue  # that day was already closed
+                rows.append(((epoch + pd.Timedelta(days=int(day))).date(), key[0], int(count), None, None, None, None,
+                             "early" if first is not None and day <= first else "late"))
+                continue
             gap = [] if last is None else [(d, 0) for d in range(last + 1, day)]
             for d, n in [*gap, (int(day), int(count))]:
                 mean = float(np.round(np.mean(recent), 2)) if recent else 0.0
                 std = float(np.round(np.std(recent, ddof=1), 2)) if len(recent) > 1 else 0.0
                 z = float(np.round((n - mean) / std, 3)) if std > 0 else 0.0
                 rows.append(((epoch + pd.Timedelta(days=d)).date(), key[0], n, mean, std, z,
-                             bool(z > z_threshold and n >= min_events)))
+                             bool(z > z_threshold and n >= min_events), "closed"))
                 recent = [*recent, n][-window:]
                 last = d
         state.update((last, recent))
-        yield pd.DataFrame(rows, columns=["day", "country", "event_count", "rolling_mean", "rolling_std", "z_score",
-                                          "is_burst"])
+        out = pd.DataFrame(rows, columns=["day", "country", "event_count", "rolling_mean", "rolling_std", "z_score",
+                                          "is_burst", "status"])
+        yield out.astype({"rolling_mean": "float64", "rolling_std": "float64", "z_score": "float64", "is_burst": "boolean"})
 
     return counts.groupBy("country").applyInPandasWithState(
         step, schema, "last int, recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
+def closed_days(days: DataFrame) -> DataFrame:
+    """The days of :func:`spike_stream` that have a baseline, in the form of the batch result."""
+    return days.where(F.col("status") == "closed").drop("status")
+
+
+def outside_days(days: DataFrame) -> DataFrame:
+    """Counts that came for a day already closed or before the start: ``(day, country, event_count, status)``."""
+    return days.where(F.col("status") != "closed").select("day", "country", "event_count", "status")

@@ -212,3 +212,25 @@ def test_linked_pairs_meet_by_key_and_once(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "_key" in plan
         brute = CH.with_features(CH.candidate_pairs(ev, anchors, 5, "other")).where("actor_exact_match > 0 or actor_country_match > 0")
         assert got == sorted((r.anchor_id, r.event_id) for r in brute.collect())
+
+
+def test_months_outside_the_windows_are_not_read(spark, tmp_path):
+    from spikelens.sources import tables
+
+    days = ["2023-11-05", "2024-01-28", "2024-02-02", "2024-02-20", "2024-04-01"]
+    ev = events(spark, [dict(event_id=i, day=d) for i, d in enumerate(days)])
+    tables.save_events(ev, str(tmp_path / "events"))
+    stored = tables.load_events(spark, str(tmp_path / "events"), "2024-12-31")
+    anchors = CH.anchor_rows(stored, spark.sql("select 1L as anchor_id, date'2024-01-28' as event_date"))
+    assert anchors.count() == 1
+    assert CH.anchor_rows(stored, spark.sql("select 1L as anchor_id, date'2024-01-29' as event_date")).count() == 0
+    chain = settle(CH.find_chains(stored, anchors))
+    assert [r.event_id for r in chain.collect()] == [2]
+    detailed = CH.with_details(chain, stored, anchors)
+    assert [r.event_id for r in detailed.collect()] == [2]
+    for df, months in ((CH.near_days(stored, anchors, "a_event_date"), {"2024-01"}),
+                       (CH.candidate_pairs(stored, anchors, 7, "same"), {"2024-01", "2024-02"}), (detailed, {"2024-02"})):
+        scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x]
+        text = " ".join(scans).split("PartitionFilters")[1].split("PushedFilters")[0]
+        assert {m for m in ("2023-11", "2024-01", "2024-02", "2024-04") if m in text} == months, text
+    assert CH.candidate_pairs(stored, anchors.where("false"), 7, "any").count() == 0

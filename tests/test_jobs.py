@@ -71,6 +71,22 @@ def test_spike_stream_fills_silent_days(spark, tmp_path):
     assert got[("B", 5)].z_score == 0.0
 
 
+def test_late_and_early_days_come_out(spark, tmp_path):
+    src, schema = str(tmp_path / "counts"), "day date, country string, event_count bigint"
+    d = lambda n: dt.date(2024, 1, n)
+    given = [[(d(1), "A", 4), (d(3), "A", 6), (d(4), "A", 5)], [(d(3), "A", 2), (d(2), "A", 7), (d(6), "A", 1), (d(1), "B", 9)]]
+    for batch in given:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        df = ST.spike_stream(spark.readStream.schema(schema).parquet(src), start_day="2024-01-03")
+        ST.run_available(df, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    days = spark.read.parquet(str(tmp_path / "out"))
+    outside = sorted((r.country, r.day.day, r.event_count, r.status) for r in ST.outside_days(days).collect())
+    assert outside == [("A", 1, 4, "early"), ("A", 2, 7, "early"), ("A", 3, 2, "late"), ("B", 1, 9, "early")]
+    closed = {(r.country, r.day.day): r.event_count for r in ST.closed_days(days).collect()}
+    assert closed == {("A", 3): 6, ("A", 4): 5, ("A", 5): 0, ("A", 6): 1}
+    assert days.agg(F.sum("event_count")).first()[0] == sum(n for batch in given for *_, n in batch)
+
+
 def test_files_are_ingested_once(spark, tmp_path):
     folder, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     land_exports(spark, SF, folder)
