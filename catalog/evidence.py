@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from spikelens import config as C, fixed_text as T
 from spikelens.functions.dist import settle
 from spikelens.operators import bursts as B, compare as P, evidence as V, keywords as K, reports as R
-from spikelens.sources import world_events as W
+from spikelens.sources import tables, world_events as W
 
-from .cleaning import events
+from .cleaning import events, scratch
 from .registry import query
 from .spikes import QUESTIONS, answers_sql, briefing_sql, choose, intent, spike_rows
 from .sql import add, article_domain, blocked, fixed, quote, rnd, with_ctes
@@ -279,6 +279,21 @@ def retrieved(spark, sf, k=C.EVIDENCE_TOP_K):
     return V.search_within(V.embed(pieces, model), asked.drop("text"), KEYS, k, ("article", "chunk_idx"))
 
 
+@query("src13_build_when_absent", with_ctes("""select day, country, article, source_url, domain, chunk_idx::int as chunk_idx,
+    md5(text) as digest from art_chunks""", "art_chunks"), dates="day")
+def _(spark, sf):
+    """Passages of the spikes, from a store that is first asked for one country, then for all, then for all again."""
+    texts, path = settle(articles(spark, sf).withColumnRenamed("rank", "article")), scratch(spark)
+    spikes = settle(texts.select("country", "day").distinct())
+
+    def build(absent):
+        return V.chunk(texts.join(absent, ["country", "day"], "left_semi"))
+
+    for wanted in (spikes.where(F.col("country") == "Iran"), spikes, spikes):
+        stored = tables.build_absent(wanted, path, build)
+    return stored.select("day", "country", "article", "source_url", "domain", "chunk_idx", F.md5("text").alias("digest"))
+
+
 @query("txt9_spike_passages", with_ctes(f"""select day, country, rank, source_url, domain, score, text from found
     where rank <= {C.EVIDENCE_TOP_K}""", "found"), dates="day", floats="score")
 def _(spark, sf):

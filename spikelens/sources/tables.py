@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config as C
+from ..functions.dist import settle
 from ..schemas import LABELS
 
 
@@ -99,3 +102,29 @@ def refresh_keyed(df: DataFrame, path: str, keys=("country", "day")) -> None:
         .partitionBy(*keys)
         .parquet(path)
     )
+
+
+def build_absent(
+    wanted: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], keys=("country", "day")
+) -> DataFrame:
+    """Rows of the wanted keys from a keyed store, after building those keys that it does not hold.
+
+    ``build`` gets the absent keys, settled, and returns their rows with the key columns; it is not called when there are
+    none, but for a store that holds nothing yet, which learns its columns that way. Rows are written by key first and the keys are noted afterwards, so a run that dies in between is made up for by
+    the next one, and a key without rows is not built again. Keys that are null are left out.
+    """
+    keys = list(keys)
+    spark, rows_at, keys_at = wanted.sparkSession, f"{path}/rows", f"{path}/keys"
+    asked = wanted.select(*keys).dropna().distinct()
+    asked.limit(0).write.mode("ignore").parquet(keys_at)
+    held = spark.read.schema(asked.schema).parquet(keys_at)
+    absent = settle(missing_keys(asked, held, keys))
+    if not absent.isEmpty() or held.isEmpty():
+        rows = build(absent)
+        rows.limit(0).drop(*keys).write.mode("ignore").parquet(f"{path}/form")
+        refresh_keyed(rows, rows_at, keys)
+        absent.write.mode("append").parquet(keys_at)
+    form = spark.read.parquet(f"{path}/form").schema
+    for field in asked.schema.fields:
+        form = form.add(field)
+    return spark.read.schema(form).parquet(rows_at).join(settle(asked), keys, "left_semi")

@@ -107,3 +107,22 @@ def test_keyed_store(spark, tmp_path):
     assert sorted(r.v for r in stored.collect()) == [1, 20]
     wanted = df.union(spark.createDataFrame([("Iran", "2024-01-01", 3)], df.schema))
     assert [r.country for r in tables.missing_keys(wanted, stored).collect()] == ["Iran"]
+
+
+def test_a_store_builds_only_absent_keys(spark, tmp_path):
+    calls = []
+
+    def build(absent):
+        calls.append(sorted(r.k for r in absent.collect()))
+        return absent.where("k <> 3").selectExpr("k", "explode(array(k, 10 * k)) as v", "concat('t', k) as t")
+
+    def ask(*ks):
+        wanted = spark.createDataFrame([(k,) for k in ks], "k bigint")
+        return sorted((r.k, r.v, r.t) for r in tables.build_absent(wanted, str(tmp_path / "store"), build, ["k"]).collect())
+
+    assert ask() == [] and calls.pop() == []  # a new store
+    assert ask(1, None, 1) == [(1, 1, "t1"), (1, 10, "t1")]
+    assert ask(1, 2, 3) == [(1, 1, "t1"), (1, 10, "t1"), (2, 2, "t2"), (2, 20, "t2")]
+    assert ask(3, 2) == [(2, 2, "t2"), (2, 20, "t2")]
+    assert calls == [[1], [2, 3]]  # 3 has no rows and is not built again
+    assert ask() == [] and len(calls) == 2
