@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spikelens.functions import exprs as X
 from conftest import events
-from spikelens.functions.dist import SALTS, attach, packed, packed_minor, prefer, settle, top_k, top_many
+from spikelens.functions.dist import SALTS, attach, near_top, packed, packed_minor, prefer, settle, top_k, top_k_bounded, top_many
 from spikelens.operators import bursts as B, evidence as V
 
 
@@ -128,3 +128,19 @@ def test_narrow_minima_are_hash_aggregates(spark):
     for df in (B.day_anchors(ev, days), V.spike_urls(ev, days)):
         assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
     assert [r.source_url for r in V.spike_urls(ev, days).orderBy("rank").collect()] == ["http://a2.com/x", "http://a1.com/x", "http://a0.com/x"]
+
+
+def test_bounded_top_k_equals_sorting_all(spark):
+    rows = [(i % 2, i, float(i * 7 % 40) if i % 9 else None, f"{i * 31 % 100:02d}") for i in range(6000)] + [(None, 7000, 1.0, "x")]
+    df = spark.createDataFrame(rows, "g int, item bigint, x double, h string")
+    for order, by in (({"x": True, "item": False}, [F.desc("x"), F.col("item")]), ({"h": False, "item": False}, [F.col("h"), F.col("item")])):
+        got = top_k_bounded(df, ["g"], order, 12, "item")
+        assert sorted(map(str, got.collect())) == sorted(map(str, top_k(df, ["g"], by, 12).collect()))
+
+
+def test_few_rows_are_left_to_sort(spark):
+    """Also where all rows tie in the first column."""
+    df = spark.range(0, 60_000, 1, 2).select((F.col("id") % 2).alias("g"), F.col("id").alias("item"), F.lit(1.0).alias("x"))
+    assert 6 <= near_top(df, ["g"], {"x": True, "item": False}, 3, "item").count() < 6000
+    best = top_many(df, ["g"], "item", {"x": F.col("x")}, 3, "name", down=False).collect()
+    assert sorted((r.g, r.item) for r in best) == [(0, 0), (0, 2), (0, 4), (1, 1), (1, 3), (1, 5)]
