@@ -234,3 +234,25 @@ def test_months_outside_the_windows_are_not_read(spark, tmp_path):
         text = " ".join(scans).split("PartitionFilters")[1].split("PushedFilters")[0]
         assert {m for m in ("2023-11", "2024-01", "2024-02", "2024-04") if m in text} == months, text
     assert CH.candidate_pairs(stored, anchors.where("false"), 7, "any").count() == 0
+
+
+def test_random_trials_have_whole_hashes_of_their_own(spark):
+    from hashlib import md5
+
+    from spikelens.operators import evaluate as E
+
+    ev = events(spark, [dict(event_id=i) for i in range(300)])
+    anchors = CH.anchor_rows(ev, spark.sql("select 7L as anchor_id"))
+    got = {(r.trial, r["rank"]): r.item for r in E.random_ranks(ev, anchors).collect()}
+    for t in range(1, 6):
+        order = sorted((i for i in range(300) if i != 7), key=lambda i: md5(f"42:{t}:7:{i}".encode()).hexdigest())
+        assert [got[t, n] for n in range(1, 11)] == order[:10]
+
+
+def test_event_columns_are_made_once_per_event(spark):
+    ev = events(spark, [dict(event_id=i) for i in range(9)])
+    anchors = CH.anchor_rows(ev, spark.sql("select 7L as anchor_id union all select 8L"))
+    for df in (CH.scored_pairs(ev, anchors), CH.find_chains(ev, anchors)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joined = plan.index("Join Inner")
+        assert "Generate inline" in plan[joined:]
