@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -22,6 +24,8 @@ MAX_QUERIES = 2_000        # queries sent to every task
 BLOCK_ROWS = 4_000         # rows per block when there are more
 DIM = 1024                 # entries of a text vector
 KNOWN_WORDS = 200_000      # words whose entry a batch remembers
+SLICE_WORDS = 200_000      # words of an Arrow batch that Python holds at a time
+SLICE_ROWS = 1_000         # vectors of an Arrow batch that Python holds at a time
 
 
 # --- sources of a spike ------------------------------------------------------
@@ -244,20 +248,41 @@ def _placed(words, dim: int, known: dict) -> tuple[np.ndarray, np.ndarray]:
     return places[:, 0].astype(int), places[:, 1]
 
 
+def _slices(lists: pa.Array) -> Iterator[pa.Array]:
+    """Runs of rows with at most ``SLICE_WORDS`` words; a longer row stands alone."""
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(lists):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_WORDS, side="right")))
+        yield lists.slice(start, stop - start)
+        start = stop
+
+
+def _word_places(lists: pa.Array, dim: int, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry, sign and row of every word; Python sees the different words of the rows only."""
+    coded = lists.flatten().dictionary_encode()
+    at, sign = _placed(coded.dictionary.to_pylist(), dim, known)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return at[codes], sign[codes], owner
+
+
 def fit_embedder(docs: DataFrame, text: str = "text", dim: int = DIM) -> np.ndarray:
     """Weight of each vector entry: ln((N + 1) / (df + 1)) over documents that have a word there.
 
     Documents are counted where they lie; what is merged are ``dim`` counts per task.
     """
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, known = np.zeros(dim, np.int64), 0, {}
         for batch in batches:
-            n += len(batch)
-            for words in batch["_words"]:
-                df[np.unique(_placed(words, dim, known)[0])] += 1
-        yield pd.DataFrame({"i": np.arange(-1, dim), "n": np.append(n, df)})
+            n += batch.num_rows
+            for words in _slices(batch.column(0)):
+                at, _, owner = _word_places(words, dim, known)
+                df += np.bincount(np.unique(owner * dim + at) % dim, minlength=dim)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, dim, dtype=np.int32)), pa.array(np.append(n, df))], ["i", "n"])
 
-    rows = docs.select(tokens(F.coalesce(text, F.lit(""))).alias("_words")).mapInPandas(count, "i int, n bigint")
+    rows = docs.select(tokens(F.coalesce(text, F.lit(""))).alias("_words")).mapInArrow(count, "i int, n bigint")
     total = np.zeros(dim + 1, np.int64)
     for r in rows.groupBy("i").agg(F.sum("n").alias("n")).collect():
         total[r.i + 1] = r.n
@@ -266,17 +291,20 @@ def fit_embedder(docs: DataFrame, text: str = "text", dim: int = DIM) -> np.ndar
 
 def embed(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
     """Add ``embedding``: signed counts of hashed words, weighted, as a unit vector (zeros for no words)."""
-    def vectors(column: pd.Series) -> pd.Series:
+    def vectors(column: pa.Array) -> pa.Array:
         known: dict = {}
-        out = []
-        for words in column:
-            at, sign = _placed(words, len(model), known)
-            v = np.bincount(at, weights=sign, minlength=len(model)) * model
-            norm = np.sqrt((v * v).sum())
-            out.append((v / norm if norm else v).astype(np.float32))
-        return pd.Series(out)
-
-    made = F.pandas_udf(vectors, ArrayType(FloatType()))
+        out = [np.zeros(0, np.float32)]
+        for words in _slices(column):
+            at, sign, owner = _word_places(words, len(model), known)
+            ends = np.searchsorted(owner, np.arange(1, len(words)))
+            for own_at, own_sign in zip(np.split(at, ends), np.split(sign, ends), strict=True):
+                v = np.bincount(own_at, weights=own_sign, minlength=len(model)) * model
+                norm = np.sqrt((v * v).sum())
+                out.append((v / norm if norm else v).astype(np.float32))
+        offsets = np.arange(len(column) + 1, dtype=np.int32) * len(model)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
+
+    made = F.arrow_udf(vectors, ArrayType(FloatType()))
     return docs.withColumn("embedding", made(tokens(F.coalesce(text, F.lit("")))))
 
 
@@ -341,18 +369,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         query_ids = held["query_id"].to_numpy()
         matrix = np.array(held["embedding"].tolist(), dtype="float64").reshape(len(held), -1)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = None
-            for pdf in batches:
-                if len(pdf) and len(query_ids):
-                    block = np.array(pdf["embedding"].tolist(), dtype="float64")
-                    new = _block_leaders(pdf["vec_id"].to_numpy(), block, matrix, k)
+            for part in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
+                if len(query_ids):
+                    block = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
+                    block = block.astype("float64").reshape(part.num_rows, -1)
+                    new = _block_leaders(part.column("vec_id").to_numpy(zero_copy_only=False), block, matrix, k)
                     best = new if best is None else [
                         _leaders(np.append(a, c), np.append(b, d), k) for (a, b), (c, d) in zip(best, new)]
             if best is not None:
-                yield _ranked_frame(query_ids, best)
+                yield pa.RecordBatch.from_pandas(_ranked_frame(query_ids, best), preserve_index=False)
 
-        partial = vectors.select("vec_id", "embedding").mapInPandas(run, schema)
+        partial = vectors.select("vec_id", "embedding").mapInArrow(run, schema)
     else:
         partial = _block_search(vectors, queries, n_queries, k, schema)
     return top_k(partial, ["query_id"], [F.desc("score"), F.col("vec_id")], k)

@@ -216,3 +216,14 @@ def test_word_vectors_follow_their_definition(spark):
     at, sign = V.word_place("beta", 1024)
     digest = hashlib.md5(b"beta").hexdigest()
     assert (at, sign) == (int(digest[:8], 16) % 1024, 1.0 if digest[8] < "8" else -1.0)
+
+
+def test_python_holds_a_bounded_part_of_a_batch():
+    import pyarrow as pa
+
+    lists = pa.array([["a", "b"]] * 5 + [[]] + [["a"] * 250_000] + [["c"] * 90_000] * 4)
+    parts = list(V._slices(lists))
+    assert sum(len(p) for p in parts) == len(lists) and pa.concat_arrays(parts).equals(lists)
+    assert all(len(p.flatten()) <= V.SLICE_WORDS or len(p) == 1 for p in parts) and len(parts) == 4
+    at, sign, owner = V._word_places(lists.slice(0, 6), 16, {})
+    assert list(zip(at, sign)) == [V.word_place(w, 16) for w in ["a", "b"] * 5] and list(owner) == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
