@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spikelens.functions import exprs as X
 from conftest import events
-from spikelens.functions.dist import SALTS, attach, near_top, packed, packed_minor, prefer, settle, top_k, top_k_bounded, top_many
+from spikelens.functions.dist import SALTS, among, attach, near_top, packed, packed_minor, prefer, settle, top_k, top_k_bounded, top_many
 from spikelens.operators import bursts as B, evidence as V
 
 
@@ -144,3 +144,28 @@ def test_few_rows_are_left_to_sort(spark):
     assert 6 <= near_top(df, ["g"], {"x": True, "item": False}, 3, "item").count() < 6000
     best = top_many(df, ["g"], "item", {"x": F.col("x")}, 3, "name", down=False).collect()
     assert sorted((r.g, r.item) for r in best) == [(0, 0), (0, 2), (0, 4), (1, 1), (1, 3), (1, 5)]
+
+
+def test_rows_beyond_all_bounds_are_dropped_before_arrays_are_made(spark):
+    df = spark.range(4000).selectExpr("id % 2 as a", "id as item", "(id * 7919) % 4001 as x", "(id * 31) % 4001 as y", "id % 5 as z")
+    scores = {c: F.col(c) for c in "xyz"}
+    whole = top_many(df, ["a"], "item", scores, 3, "score_of")
+    plan = whole._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next(i for i, line in enumerate(plan) if "Generate inline" in line)
+    assert any("Filter" in line and "coalesce" in line for line in plan[made:])
+    by_two = top_many(df, ["a"], "item", scores, 3, "score_of", at_once=2)
+    want = sorted((r.a, s, r.item) for a in (0, 1) for s in "xyz"
+                  for r in sorted((r for r in df.collect() if r.a == a), key=lambda r: (-r[s], r.item))[:3])
+    for got in (whole, by_two):
+        assert sorted((r.a, r.score_of, r.item) for r in got.collect()) == want
+
+
+def test_few_ids_become_a_filter_of_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id", "cast(id as string) as s").write.parquet(str(tmp_path / "t"))
+    big = spark.read.parquet(str(tmp_path / "t")).withColumn("made", F.upper("s"))
+    small = spark.sql("select explode(array(3L, 5L, null)) as id")
+    few = attach(among(big, small, "id"), small, ["id"], "left_semi")
+    assert "In(id, [3,5])" in few._jdf.queryExecution().executedPlan().toString().replace("[5,3]", "[3,5]")
+    assert sorted(r.id for r in few.collect()) == [3, 5]
+    assert among(big, small, "id", max_ids=1).count() == 100
+    assert among(big, small.where("id > 9"), "id").count() == 0
