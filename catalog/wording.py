@@ -95,7 +95,7 @@ def _(spark, sf):
 @query("kw3_fit_tfidf_documents", with_ctes("select * from dv_vocab", "dv_vocab"), floats="idf", places=9)
 def _(spark, sf):
     """On whole documents, where the 800-term limit takes effect."""
-    return K.fit_tfidf(documents(spark, sf), ["doc_id"])
+    return K.fit_tfidf(K.spread(documents(spark, sf), "doc_id"), ["doc_id"])
 
 
 @query("src11_stored_vocabulary", with_ctes("select term, df, total_tf from kv_vocab", "kv_vocab"))
@@ -107,7 +107,7 @@ def _(spark, sf):
 
 @query("kw4_top_keywords_documents", with_ctes("select lang, rank, keyword, score from kd_kw where rank <= 15", "kd_kw"))
 def _(spark, sf):
-    docs = documents(spark, sf)
+    docs = K.spread(documents(spark, sf), "doc_id")
     return K.top_keywords(docs, settle(K.fit_tfidf(docs, ["doc_id"])), ["lang"], 15, ["doc_id"])
 
 

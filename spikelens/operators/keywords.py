@@ -17,8 +17,7 @@ from .bursts import burst_days, mark_bursts
 
 def tokens(text: Column, country: Column | None = None) -> Column:
     """Lower-case words of two or more ASCII letters that are not stopwords."""
-    letters = F.regexp_replace(F.lower(text), r"[^a-z\s]", " ")
-    words = F.split(letters, r"\s+")
+    words = F.split(F.lower(text), r"[^a-z]+")
 
     def keep(word: Column) -> Column:
         ok = (F.length(word) > 1) & ~word.isin(*C.STOPWORDS)
@@ -47,18 +46,25 @@ def event_texts(events: DataFrame, *groups: str) -> DataFrame:
     return events.groupBy(*groups, F.col("text_for_tfidf").alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def spread(docs: DataFrame, *keys: str) -> DataFrame:
+    """Whole documents dealt out by their keys: cutting them into terms costs far more than reading them, and a stored
+    table has only as many tasks as row groups. Sums per document then need no further shuffle."""
+    return docs.repartition(*keys)
+
+
 def term_counts(docs: DataFrame, keys, country: Column | None = None, pairs: bool = True) -> DataFrame:
     """Occurrences of each term in each document. ``keys`` identify a document.
 
     Counted inside the row: the terms are sorted and cut where one differs from the one before, so no row of a document
     meets another and nothing is shuffled. Each step is a column made once, by a generator that no projection merges
-    with the next; the keys stand outside of it, so documents already hashed on them stay so.
+    with the next; the keys stand outside of it, so documents already hashed on them stay so. ``sort_array`` compares
+    texts natively, ``array_sort`` would call a lambda for every two terms.
     """
     rest = [*keys, "n", "n_words"]
     words = docs.select(*keys, "n", F.inline(F.array(F.struct(tokens(F.col("text"), country).alias("_words")))))
     words = words.withColumn("n_words", F.size("_words"))
     terms = ngrams(F.col("_words")) if pairs else F.col("_words")
-    words = words.select(*rest, F.inline(F.array(F.struct(F.array_sort(terms).alias("_terms")))))
+    words = words.select(*rest, F.inline(F.array(F.struct(F.sort_array(terms).alias("_terms")))))
     first = F.transform("_terms", lambda t, i: F.when((i == 0) | (t != F.get("_terms", i - 1)), i))
     words = words.select(*rest, "_terms", F.inline(F.array(F.struct(F.array_compact(first).alias("_first")))))
     runs = F.transform("_first", lambda at, i: F.struct(

@@ -227,3 +227,13 @@ def test_python_holds_a_bounded_part_of_a_batch():
     assert all(len(p.flatten()) <= V.SLICE_WORDS or len(p) == 1 for p in parts) and len(parts) == 4
     at, sign, owner = V._word_places(lists.slice(0, 6), 16, {})
     assert list(zip(at, sign)) == [V.word_place(w, 16) for w in ["a", "b"] * 5] and list(owner) == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_documents_are_dealt_out_once_and_terms_sorted_natively(spark):
+    docs = spark.sql("select id as doc_id, 'en' as lang, 1 as n, 'Red fox, red\\t\\u00a0FOX 7 dog-house' as text from range(40)")
+    vocabulary = spark.sql("select 'fox' as term, 1e0 as idf")
+    weights = K.doc_weights(K.spread(docs, "doc_id"), vocabulary, ["lang", "doc_id"])
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "sort_array(" in plan and "array_sort(" not in plan
+    got = {(r.term, r.tf) for r in K.term_counts(docs.where("doc_id = 0"), ["doc_id"]).collect()}
+    assert got == {("red", 2), ("fox", 2), ("dog", 1), ("house", 1), ("red fox", 2), ("fox red", 1), ("fox dog", 1), ("dog house", 1)}
