@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spikelens.functions.dist import pin, settle, shared_dir
 
-__all__ = ["Pieces", "pieces", "pin", "powers", "settle", "stored", "table", "mix", "word_hashes", "text_key"]
+__all__ = ["Pieces", "file_count", "pieces", "pin", "powers", "settle", "stored", "table", "mix", "word_hashes", "text_key"]
 
 CHUNK = 1 << 21  # bytes handled at once in a task
+ROWS_PER_FILE = 4000
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -22,13 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once into a Parquet table in the shared folder, and read back: no lineage left."""
+def stored(df: DataFrame, files: int = 0) -> DataFrame:
+    """``df`` computed once into a Parquet table in the shared folder, and read back: no lineage left.
+
+    For narrow tables ``files`` is the most tasks that write one, as a file costs an executor more than its rows do: on a
+    local file system Hadoop starts a ``chmod`` process for each.
+    """
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df = df.coalesce(files) if files else df
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_count(rows: int, spark: SparkSession) -> int:
+    """Files for a narrow table made of so many documents: one per ``ROWS_PER_FILE``, and one per core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE))
+
+
 def text_key(column="text"):
     """128-bit key of a text (null counts as empty)."""
     from pyspark.sql import functions as F

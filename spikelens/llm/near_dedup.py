@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, pieces, stored, word_hashes, word_spans
+from .common import file_count, mix, pieces, stored, word_hashes, word_spans
 from .graph import components
 from .licenses import LOWER
 from .repeats import keyed
@@ -170,22 +170,30 @@ def survivors(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle:
     return full.unionByName(source.where(wordless)).drop(*key)
 
 
-def _mixed(member: DataFrame, found: DataFrame) -> DataFrame:
+def _joined(found: DataFrame | None, links: DataFrame, files: int) -> DataFrame:
+    """Components by ``links`` and those found before, which stand for all links they were made from."""
+    if found is not None:
+        links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(links, files)
+
+
+def _mixed(member: DataFrame, found: DataFrame, files: int) -> DataFrame:
     """Rows of the buckets that hold several components, with the component as ``group``."""
-    now = stored(member.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"))
+    now = stored(member.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), files)
     mixed = now.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band")
-    return stored(now.join(mixed, "band"))
+    return stored(now.join(mixed, "band"), files)
 
 
-def _compared(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(rest: DataFrame, sets: DataFrame, percent: int, files: int) -> DataFrame:
     """Links between components that share buckets, every pair of such classes looked at.
 
     Classes tied by shared buckets form a cluster. A cluster is dealt into blocks of about ``BLOCK`` classes, and each
     pair of blocks is compared inside one task; only links that join components leave it.
     """
     lead = rest.groupBy("band").agg(F.min("node").alias("a"))
-    cluster = components(rest.join(lead, "band").select("a", F.col("node").alias("b")).distinct())
-    one = stored(rest.select("node", "group").distinct().join(cluster.withColumnRenamed("component", "cluster"), "node"))
+    cluster = components(rest.join(lead, "band").select("a", F.col("node").alias("b")), files)
+    one = stored(rest.select("node", "group").distinct().join(cluster, "node", "left").select(
+        "node", "group", F.coalesce("component", "node").alias("cluster")), files)
     blocks = one.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("m"))
     mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
     dealt = one.join(blocks, "cluster").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
@@ -253,37 +261,36 @@ def labelled(docs: DataFrame, doc: str, text: str, shingle: int, percent: int, b
     profile = stored(source.mapInArrow(_profile_rows(shingle, bands, rows),
                                        "doc long, k1 long, k2 long, n long, s1 long, s2 long, bands array<long>"))
     # the shingle set, hence its bands and size, follow from the key; any holder's text gives the set
+    files = file_count(profile.count(), docs.sparkSession)
     nodes = stored(profile.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("low"), F.first("n").alias("n"),
                                                                   F.first("bands").alias("bands"),
                                                                   F.first(F.struct("k1", "k2")).alias("k"))
-                   .withColumn("node", F.monotonically_increasing_id()))
+                   .withColumn("node", F.monotonically_increasing_id()), files)
     member = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    member = stored(member.join(shared, "band"))
+    member = stored(member.join(shared, "band"), files)
     # the class that meets the most others leads: what copies were made from meets all of them
     weight = member.groupBy("node").agg(F.sum("c").alias("weight"))
-    member = stored(member.drop("c").join(weight, "node"))
+    member = stored(member.drop("c").join(weight, "node"), files)
     asked = member.select("node").distinct().join(nodes.select("node", "k.k1", "k.k2"), "node")
     one = source.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     sets = stored(one.join(asked, ["k1", "k2"]).select("node", "text").mapInArrow(_set_rows(shingle), "node long, set binary"))
     near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    links = found = None
+    found = None
     rest = member.withColumn("group", F.col("node"))
     for turn in range(TURNS):
         # one leader per bucket; later turns take any class as leader and only buckets that still hold several components
         order = F.struct("weight", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn), "band").alias("weight"), "node")
         lead = stored(rest.groupBy("band").agg(F.max(F.struct(order.alias("o"), "n", "group")).alias("lead")).select(
-            "band", F.col("lead.o.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.group").alias("group_a")))
+            "band", F.col("lead.o.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.group").alias("group_a")), files)
         pairs = (rest.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), "group").join(lead, "band")
                  .where("a <> b and group <> group_a").where(near).select("a", "b").distinct())
-        new = linked(stored(pairs), sets, percent)
-        links = new if links is None else links.unionByName(new)
-        found = stored(components(links))
-        rest = _mixed(member, found)
+        found = _joined(found, linked(stored(pairs, files), sets, percent), files)
+        rest = _mixed(member, found, files)
     if not rest.isEmpty():
-        found = stored(components(links.unionByName(_compared(rest, sets, percent))))
+        found = _joined(found, _compared(rest, sets, percent, files), files)
     group = F.coalesce("component", "node")
     lows = nodes.join(found, "node", "left").withColumn("component", group)
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
     result = lows.select("s1", "s2", "component").join(least, "component")
-    return profile.select("doc", "k1", "k2", "n", "s1", "s2").join(stored(result), ["s1", "s2"], "left").drop("s1", "s2")
+    return profile.select("doc", "k1", "k2", "n", "s1", "s2").join(stored(result, files), ["s1", "s2"], "left").drop("s1", "s2")
