@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_values, gram_hashes, pieces, stored, word_hashes, word_spans
+from .common import byte_values, file_count, gram_hashes, pieces, stored, word_hashes, word_spans
 
 BLOCK = 1 << 23
 GROUP = 1 << 20  # payload bytes matched at once
@@ -315,24 +315,24 @@ KEY = ["h", "s1", "s2"]
 SPLITS = (32, 6, 1)
 
 
-def _flags(items: DataFrame, unit, match, keep, bucket, splits) -> DataFrame:
+def _flags(items: DataFrame, unit, match, keep, bucket, splits, files: int) -> DataFrame:
     """Distinct segments with ``n``, ``head`` (first holder), ``members`` and the ``marks`` of windows met in others."""
     distinct = stored(items.groupBy(*KEY).agg(
         F.first("seg").alias("seg"), F.first("n").alias("n"), F.first("off").alias("off"), F.min("head").alias("head"),
-        F.count(F.lit(1)).alias("members")))
+        F.count(F.lit(1)).alias("members")), files)
     sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = stored(distinct.drop("members").join(sizes, "h"))
+    shared = stored(distinct.drop("members").join(sizes, "h"), files)
     small = shared.where(F.col("c") <= bucket) if splits else shared
     flags = small.select(*KEY, "seg", "head").repartition("h").sortWithinPartitions("h").mapInArrow(
         _match_rows(match, unit, keep), FLAGS)
     large = shared.where(F.col("c") > bucket)
     if splits and not large.isEmpty():
-        parts = stored(large.mapInArrow(_split_rows(unit, splits[0]), SPLIT)).withColumn(
+        parts = stored(large.mapInArrow(_split_rows(unit, splits[0]), SPLIT), files).withColumn(
             "head", F.struct("rank", "k1", "k2", F.col("place").alias("at")))
-        found = _spread(parts, _flags(parts, unit, match, keep, bucket, splits[1:]), keep, "ph", "ps1", "ps2")
+        found = _spread(parts, _flags(parts, unit, match, keep, bucket, splits[1:], files), keep, "ph", "ps1", "ps2")
         flags = flags.unionByName(found.groupBy(F.col("ph").alias("h"), F.col("ps1").alias("s1"), F.col("ps2").alias("s2")).agg(
             F.flatten(F.transform(F.collect_list("marks"), lambda m: m.cast("array<int>"))).alias("marks")))
-    return stored(distinct.select(*KEY, "n", "head", "members").join(flags, KEY, "left"))
+    return stored(distinct.select(*KEY, "n", "head", "members").join(flags, KEY, "left"), files)
 
 
 def _spread(items: DataFrame, flags: DataFrame, keep: str, *owner: str) -> DataFrame:
@@ -349,20 +349,21 @@ def _spread(items: DataFrame, flags: DataFrame, keep: str, *owner: str) -> DataF
 
 def _removed(rows, texts, unit, match, keep, order, bucket, with_text):
     anchors = texts.select("k1", "k2", "text").mapInArrow(_anchor_rows(unit), "h long, k1 long, k2 long")
-    anchors = stored(anchors)
+    files = file_count(texts.count(), texts.sparkSession)
+    anchors = stored(anchors, files)
     twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     wanted = anchors.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
     segments = stored(texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "rank", "text", "hs")
-                      .mapInArrow(_segment_rows(unit), SEGMENTS))
+                      .mapInArrow(_segment_rows(unit), SEGMENTS), files)
     segments = segments.withColumn("head", F.struct("rank", "k1", "k2", F.col("at").alias("at")))
-    member = _spread(segments, _flags(segments, unit, match, keep, bucket, SPLITS), keep, "k1", "k2")
+    member = _spread(segments, _flags(segments, unit, match, keep, bucket, SPLITS, files), keep, "k1", "k2")
     marked = member.groupBy("k1", "k2").agg(F.collect_list("marks").alias("marks"))
     copied = (F.col("copies") > 1) if keep == "none" else F.lit(False)
     digest = stored(texts.join(marked, ["k1", "k2"], "left").select("k1", "k2", "text", copied.alias("copies"), "marks", "rank")
-                    .select("k1", "k2", "text", "copies", "marks").mapInArrow(_digest_rows(unit, with_text), DIGEST))
+                    .select("k1", "k2", "text", "copies", "marks").mapInArrow(_digest_rows(unit, with_text), DIGEST), files)
     if keep == "first":
         digest = digest.join(texts.select("k1", "k2", "rank"), ["k1", "k2"])
-        digest = stored(digest)
+        digest = stored(digest, files)
     facts = digest.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"),
                           *[c for c in digest.columns if c not in ("k1", "k2", *([] if with_text else ["kept_text"]))])
     names = [c for c in rows.columns if c not in facts.columns or c in ("_k1", "_k2")]

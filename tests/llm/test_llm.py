@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from spikelens.llm import decontam, fingerprints, licenses, near_dedup, packing, ring, substring_dedup, suffix_dedup, toxicity, url_rules
+from spikelens.llm import decontam, fingerprints, licenses, near_dedup, packing, repeats, ring, substring_dedup, suffix_dedup, toxicity, url_rules
 from spikelens.llm.queries import QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +58,28 @@ def test_repeats(docs, module, window, keep, bucket):
             assert got[d].kept_text.split() == kept.decode().split()
 
 
+def test_repeats_take_few_files(spark, docs, monkeypatch):
+    """Each file is a task and some processes that an executor starts, whatever the number of shuffle partitions."""
+    files, kept = [], repeats.stored
+
+    def counted(df, *how):
+        out = kept(df, *how)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("30", "false"), strict=True):
+            spark.conf.set(k, v)
+        stage = corpus_pipeline.passages_out(spark, docs.repartition(4), SF)
+        assert stage.rdd.getNumPartitions() <= 4
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(files) >= 6 and max(files) <= 5, files
+
+
 def test_longest_factors():
     rnd = random.Random(1)
     data = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(120)), np.uint8)
