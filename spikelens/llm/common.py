@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spikelens.functions.dist import pin, settle, shared_dir
 
-__all__ = ["Pieces", "file_count", "pieces", "pin", "powers", "settle", "stored", "table", "mix", "word_hashes", "text_key"]
+__all__ = ["Pieces", "file_count", "pieces", "pin", "powers", "settle", "shuffled", "stored", "table", "mix", "word_hashes",
+           "text_key"]
 
 CHUNK = 1 << 21  # bytes handled at once in a task
 ROWS_PER_FILE = 4000
@@ -35,6 +36,15 @@ def stored(df: DataFrame, files: int = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that goes by shuffles, so that neither side is broadcast through the driver.
+
+    For sides whose rows follow the corpus and have no shuffle of their own that Spark could measure: it guesses them by
+    the compressed size of stored files, counts an ``explode`` above as nothing, and broadcasts many times its bound.
+    """
+    return df.hint("merge")
+
+
 def file_count(rows: int, spark: SparkSession) -> int:
     """Files for a narrow table made of so many documents: one per ``ROWS_PER_FILE``, and one per core at least."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE))

@@ -6,6 +6,9 @@ circular shift by the coordinate's number. Documents with equal shingle sets for
 Buckets are not expanded into pairs. In turns, each class of a bucket is compared with the bucket's leader, at first the
 class that meets the most others; verified links give components. Classes of buckets that still hold several components
 are then compared inside tasks, block by block, and only links that join components are put out. Copies and chains of near copies are thus linked at a cost that follows the number of rows.
+
+No join broadcasts a side of guessed size: such sides are ``shuffled``, and joins with sums per key are left joins, in which
+only the sums, measured by their own shuffle, may be broadcast.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import file_count, mix, pieces, stored, word_hashes, word_spans
+from .common import file_count, mix, pieces, shuffled, stored, word_hashes, word_spans
 from .graph import components
 from .licenses import LOWER
 from .repeats import keyed
@@ -134,7 +137,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
     asked = pairs.select(F.col("a").alias("center"), salt.alias("salt"), F.lit(1).alias("role"), F.col("b").alias("node"))
     heads = asked.select("center", "salt").distinct().select("center", "salt", F.lit(0).alias("role"), F.col("center").alias("node"))
-    rows = asked.unionByName(heads).join(sets, "node")
+    rows = asked.unionByName(heads).join(shuffled(sets), "node")
     return stored(rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
                   .select("center", "role", "node", "set").mapInArrow(_verify_rows(percent), "a long, b long"))
 
@@ -179,9 +182,10 @@ def _joined(found: DataFrame | None, links: DataFrame, files: int) -> DataFrame:
 
 def _mixed(member: DataFrame, found: DataFrame, files: int) -> DataFrame:
     """Rows of the buckets that hold several components, with the component as ``group``."""
-    now = stored(member.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), files)
+    now = member.join(shuffled(found), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    now = stored(now.drop("component"), files)
     mixed = now.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("band")
-    return stored(now.join(mixed, "band"), files)
+    return stored(now.join(mixed, "band", "left_semi"), files)
 
 
 def _compared(rest: DataFrame, sets: DataFrame, percent: int, files: int) -> DataFrame:
@@ -191,15 +195,15 @@ def _compared(rest: DataFrame, sets: DataFrame, percent: int, files: int) -> Dat
     pair of blocks is compared inside one task; only links that join components leave it.
     """
     lead = rest.groupBy("band").agg(F.min("node").alias("a"))
-    cluster = components(rest.join(lead, "band").select("a", F.col("node").alias("b")), files)
-    one = stored(rest.select("node", "group").distinct().join(cluster, "node", "left").select(
+    cluster = components(rest.join(lead, "band", "left").select("a", F.col("node").alias("b")), files)
+    one = stored(rest.select("node", "group").distinct().join(shuffled(cluster), "node", "left").select(
         "node", "group", F.coalesce("component", "node").alias("cluster")), files)
     blocks = one.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("m"))
     mine = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    dealt = one.join(blocks, "cluster").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = one.join(blocks, "cluster", "left").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     dealt = dealt.select("cluster", "node", "group", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     key = ["cluster", "p", "q"]
-    return stored(dealt.join(sets, "node").repartition(*key).sortWithinPartitions(*key, "own")
+    return stored(dealt.join(shuffled(sets), "node").repartition(*key).sortWithinPartitions(*key, "own")
                   .select(*key, "own", "node", "group", "set").mapInArrow(_compare_rows(percent), "a long, b long"))
 
 
@@ -268,13 +272,13 @@ def labelled(docs: DataFrame, doc: str, text: str, shingle: int, percent: int, b
                    .withColumn("node", F.monotonically_increasing_id()), files)
     member = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    member = stored(member.join(shared, "band"), files)
+    member = stored(member.join(shuffled(shared), "band"), files)
     # the class that meets the most others leads: what copies were made from meets all of them
     weight = member.groupBy("node").agg(F.sum("c").alias("weight"))
-    member = stored(member.drop("c").join(weight, "node"), files)
-    asked = member.select("node").distinct().join(nodes.select("node", "k.k1", "k.k2"), "node")
+    member = stored(member.drop("c").join(weight, "node", "left"), files)
+    asked = member.select("node").distinct().join(shuffled(nodes.select("node", "k.k1", "k.k2")), "node")
     one = source.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    sets = stored(one.join(asked, ["k1", "k2"]).select("node", "text").mapInArrow(_set_rows(shingle), "node long, set binary"))
+    sets = stored(one.join(shuffled(asked), ["k1", "k2"]).select("node", "text").mapInArrow(_set_rows(shingle), "node long, set binary"))
     near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
     found = None
     rest = member.withColumn("group", F.col("node"))
@@ -283,14 +287,14 @@ def labelled(docs: DataFrame, doc: str, text: str, shingle: int, percent: int, b
         order = F.struct("weight", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn), "band").alias("weight"), "node")
         lead = stored(rest.groupBy("band").agg(F.max(F.struct(order.alias("o"), "n", "group")).alias("lead")).select(
             "band", F.col("lead.o.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.group").alias("group_a")), files)
-        pairs = (rest.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), "group").join(lead, "band")
+        pairs = (rest.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), "group").join(shuffled(lead), "band")
                  .where("a <> b and group <> group_a").where(near).select("a", "b").distinct())
         found = _joined(found, linked(stored(pairs, files), sets, percent), files)
         rest = _mixed(member, found, files)
     if not rest.isEmpty():
         found = _joined(found, _compared(rest, sets, percent, files), files)
     group = F.coalesce("component", "node")
-    lows = nodes.join(found, "node", "left").withColumn("component", group)
+    lows = nodes.join(shuffled(found), "node", "left").withColumn("component", group)
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    result = lows.select("s1", "s2", "component").join(least, "component")
-    return profile.select("doc", "k1", "k2", "n", "s1", "s2").join(stored(result, files), ["s1", "s2"], "left").drop("s1", "s2")
+    result = stored(lows.select("s1", "s2", "component").join(least, "component", "left"), files)
+    return profile.select("doc", "k1", "k2", "n", "s1", "s2").join(shuffled(result), ["s1", "s2"], "left").drop("s1", "s2")

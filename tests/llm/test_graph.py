@@ -66,3 +66,54 @@ def test_narrow_tables_are_few_files(spark, monkeypatch):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert sum(files) <= 300, files
+
+
+def guessed(df):
+    """Broadcast sides in the plan of ``df`` that have no shuffle of their own, by whose rows Spark would know their size."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    out = []
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            inside, skip = [], None
+            for y, d in zip(lines[i + 1 :], depth[i + 1 :], strict=True):
+                if d <= depth[i]:
+                    break
+                if skip is not None and d > skip:
+                    continue
+                skip = d if "BroadcastExchange" in y else None
+                inside.append(y)
+            if not any("- Exchange " in y for y in inside):
+                out.append("\n".join([x, *inside]))
+    return out
+
+
+def test_no_side_of_guessed_size_is_broadcast(spark, monkeypatch):
+    """Such sides once grew to several times the driver's memory, above all the blocks' classes with an explode above them."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(90)}" for _ in range(60)]
+    rows = [(i, " ".join([*base[:-1], f"x{i % 3}"])) for i in range(9)]
+    for i in range(9, 50):  # too far from each other for a link, but they share buckets
+        far = list(base)
+        for k in r.sample(range(60), 5):
+            far[k] = f"y{i}"
+        rows.append((i, " ".join(far)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bad, kept, joins = [], common.stored, []
+
+    def watched(df, *how):
+        bad.extend(guessed(df))
+        joins.append(df._jdf.queryExecution().executedPlan().toString().count("Join "))
+        return kept(df, *how)
+
+    for module in (near_dedup, graph):
+        monkeypatch.setattr(module, "stored", watched)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "TURNS", 1)  # so that blocks are left to compare
+    calls, compared = [], near_dedup._compared
+    monkeypatch.setattr(near_dedup, "_compared", lambda *x: calls.append(1) or compared(*x))
+    out = near_dedup.near_duplicates(docs, shingle=2)
+    assert not bad + guessed(out), "\n\n".join(bad + guessed(out))
+    assert calls and sum(joins) >= 12, joins
+    sides = docs.select("doc_id").join(docs.select("doc_id").hint("broadcast"), "doc_id")
+    assert guessed(sides.withColumn("x", sides.doc_id)) == [] and guessed(spark.range(9).join(spark.range(5).hint("broadcast"), "id"))
